@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstream.llm import language_id, line_dedup, mixing, packing, simhash, token_counts, toxicity
+from rillstream.llm import html_extract, language_id, line_dedup, mixing, packing, simhash, token_counts, toxicity
 from rillstream.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_simhash": op2_simhash,
+    "op3_html_extract": op3_html_extract,
     "op4_mix": op4_mix,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
