@@ -201,7 +201,12 @@ def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_c
 
 
 def recognised(docs: DataFrame, filters: Filters, *, text_col: str = "text", least: float = 0.15) -> DataFrame:
-    """The rows of docs, all columns kept, whose text is in some learned language with at least this score."""
+    """The rows of docs, all columns kept, whose text is in some learned language with at least this score.
+
+    Where no language could be learned, all texts with letters stay.
+    """
+    if not filters.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     held = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text_col)
 

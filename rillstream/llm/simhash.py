@@ -19,10 +19,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstream.llm.common import staged
+from rillstream.llm.common import free_name, staged
 from rillstream.llm.components import components
 
 SEED = 42
@@ -110,5 +110,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(rooted, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns kept, that stand for their group: the one with the group's smallest id, once.
+
+    Of repeated rows with that id the one with the smallest text stays. Rows without id can't be named by a group and
+    all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    doc = free_name(docs, "_doc")
+    best = staged(found.where("doc_id = component_id").select(F.col("doc_id").alias(doc)).distinct(), "representatives")
+    named = docs.join(best, docs[id_col].cast("long") == F.col(doc))
+    n = free_name(docs, "_n")
+    order = Window.partitionBy(doc).orderBy(F.col(text_col))
+    once = named.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(docs.where(docs[id_col].isNull()))
+
+
 def fingerprint_text(col: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
