@@ -5,7 +5,7 @@ and the excess is shared again by weight among the rest until no share is above
 order of cap / weight, exactly a prefix is clamped, and prefix sums tell which.
 
 A document is taken floor(target / size) times, and once more if it comes, in the order of a seeded hash, before the
-point where the source's fraction is reached. That point is found from word sums of 65,536 hash ranges for each source
+point where the source's fraction is reached. That point is found from word sums of 4,096 hash ranges for each source
 and then inside the one range that holds it, so that no task sorts a source.
 
 Defined results: null text has size 0; a null source is a source of its own, last; repeated rows are drawn alike;
@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
 #: Hash ranges for each source are 2^RANGES.
-RANGES = 16
+RANGES = 12
 HASH_BITS = 60
 #: Sources up to which their table is broadcast (a row takes less than 200 bytes); more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
