@@ -28,4 +28,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the scratch folder and reads it back; what reads it again needs none of what made it."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Removes what staged() wrote; for tables that nothing reads any more."""
+    path, spark = getattr(df, "_staged_at", None), df.sparkSession
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
