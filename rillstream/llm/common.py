@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstream.plans.scratch import staged, unstage
+
+__all__ = ["WORD", "Remembering", "free_name", "staged", "table", "text_or_empty", "unstage", "usable_vector", "vectors"]
+
 #: Java and Python regular expression for one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    if not at:
-        held = sc._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else ""
-    if not at:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="rillstream-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/rillstream-{sc.applicationId}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Removes what staged() wrote; for tables that nothing reads any more."""
-    path = getattr(df, "_staged_at", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """base, or base with underscores before it until no column of df has that name (case does not count)."""
     taken = {c.lower() for c in df.columns}
@@ -88,7 +55,7 @@ class Remembering(dict):
     Frequent keys are looked up at a dict's speed, and memory stays within twice `room` entries.
     """
 
-    room = 300_000
+    room = 350_000
     longest = 256
 
     def __init__(self):
@@ -105,7 +72,10 @@ class Remembering(dict):
             if len(key) > self.longest:
                 return out
         if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         self[key] = out
         return out
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OTHER, MAIN = 0, 1
-PAGES = 500
-EPOCHS = 6
+PAGES = 900
+EPOCHS = 10
 RATE = 0.3
 DECAY = 1e-5
 
@@ -288,6 +288,11 @@ class PageMaker:
         s = " ".join(self.word() for _ in range(self.r.randint(low, high)))
         return s.capitalize() + self.r.choice([".", ".", ".", "!", "?"])
 
+    def phrase(self, low: int, high: int) -> str:
+        """A heading, an item, a cell: mostly without a full stop."""
+        s = self.sentence(low, high)
+        return s if self.r.random() < 0.3 else s[:-1]
+
     def attrs(self, part: str) -> str:
         r = self.r
         if r.random() < 0.25:
@@ -349,30 +354,33 @@ class PageMaker:
         if kind < 0.7:
             if r.random() < 0.25:
                 text += f' <a href="/{self.word()}">{self.word()}</a> {self.word()}.'
+            if r.random() < 0.15:
+                text = text[:-1]
             return self.bare("p", f"<b>{text}" if r.random() < 0.15 else text, MAIN, 0.85)
         if kind < 0.8:
-            return self.bare(r.choice(["h2", "h3", "h4"]), self.sentence(2, 7), MAIN)
-        if kind < 0.87:
-            items = [x for _ in range(r.randint(2, 5)) for x in self.bare("li", self.sentence(2, 10), MAIN, 0.8)]
+            return self.bare(r.choice(["h2", "h3", "h4"]), self.phrase(1, 7), MAIN)
+        if kind < 0.89:
+            items = [x for _ in range(r.randint(2, 5)) for x in self.bare("li", self.phrase(1, 10), MAIN, 0.8)]
             return [("<ul>", None), *items, ("</ul>", None)]
-        if kind < 0.92:
+        if kind < 0.93:
             return [("<blockquote>", None), *self.bare("p", text, MAIN), ("</blockquote>", None)]
         if kind < 0.96:
-            return [("<figure>", None), ('<img src="x.png">', None), *self.bare("figcaption", self.sentence(2, 8), MAIN), ("</figure>", None)]
-        cells = [x for _ in range(r.randint(2, 6)) for x in [("<tr>", None), *self.bare("td", self.word(), MAIN), *self.bare("td", self.sentence(1, 4), MAIN), ("</tr>", None)]]
+            return [("<figure>", None), ('<img src="x.png">', None), *self.bare("figcaption", self.phrase(2, 8), MAIN), ("</figure>", None)]
+        cells = [x for _ in range(r.randint(2, 6)) for x in [("<tr>", None), *self.bare("td", self.word(), MAIN), *self.bare("td", self.phrase(1, 4), MAIN), ("</tr>", None)]]
         return [("<table>", None), *cells, ("</table>", None)]
 
     def page(self) -> tuple[str, list[int]]:
         r = self.r
         body: list[tuple[str, int | None]] = []
+        bare = r.random() < 0.15  # nothing before the article
         for part in ("notice", "header", "nav", "ad", "aside", "form"):
-            if r.random() < {"nav": 0.85, "header": 0.5}.get(part, 0.35):
+            if not bare and r.random() < {"nav": 0.85, "header": 0.5}.get(part, 0.35):
                 body += self.other(part)
         wrap = r.choice(["article", "article", "article", "main", "main-article", "div", "section"])
         named = self.attrs("main") or f' class="{r.choice(PARTS["main"].split())}"'
         opens = {"article": f"<article{self.attrs('main')}>", "main": f"<main{self.attrs('main')}>", "main-article": f"<main><article{self.attrs('main')}>", "div": f"<div{named}>", "section": f"<section{named}>"}[wrap]
         closes = {"main-article": "</article></main>"}.get(wrap, f"</{wrap}>")
-        inner = self.bare(r.choice(["h1", "h1", "h1", "h2"]), self.sentence(2, 10), MAIN)
+        inner = self.bare(r.choice(["h1", "h1", "h1", "h2"]), self.phrase(1, 10), MAIN) if r.random() < 0.9 else self.paragraph()
         if r.random() < 0.15:
             inner = [("<header>", None), *inner, ("</header>", None)]
         for _ in range(r.choice([0, 1, 2, 4, 8, 14])):

@@ -8,6 +8,7 @@ Fitting counts n-grams on the executors over a bounded sample of labelled texts
 drawn by hash) and keeps the most frequent GRAMS of each language; the driver gets no more than GRAMS numbers for each.
 
 Defined results: a null text or one without letters is `und` with score 0; ties go to the language first by code point;
+at most MAX_LANGUAGES languages are learned, the commonest;
 letters of which no n-gram is known get the commonest language with score 0; without any labelled text all is `und`;
 repeated rows get repeated results; further columns are ignored.
 """
@@ -154,11 +155,11 @@ def unit_hash(col: Column) -> Column:
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, grams_kept: int = GRAMS) -> Filters:
     """Filters from rows whose text and language are not null."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().limit(MAX_LANGUAGES + 1).collect()}
+    by_lang = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang")
+    sizes = {r[0]: r[1] for r in by_lang.limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Filters([], UNKNOWN, np.zeros(1 << SLOT_BITS, np.uint8))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"at most {MAX_LANGUAGES} languages")
+    rows = rows.where(F.col(lang_col).cast("string").isin(*sizes))
     rate = F.coalesce(*[F.when(F.col(lang_col).cast("string") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(sizes.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,9 @@ MIN_PAGES = 5
 BROADCAST_LINES = 100_000
 
 
-def site_of(url: str | Column) -> Column:
+def site_of(url: Column) -> Column:
     """The host of a URL in lower case without port; null if there is none."""
-    return F.lower(F.parse_url(url, F.lit("HOST")))
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
 def lines(text: Column) -> Column:
