@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,24 @@ def checked(res: Column, failed: Column, message: str | Column) -> Column:
     said = F.lit(message) if isinstance(message, str) else message
     bad = F.coalesce(failed, F.lit(False))
     return F.struct(F.when(~bad, res).alias("res"), F.when(bad, said).alias("err"))
+
+
+def python_stage(work: Callable, kind: str) -> Stage:
+    """A stage of a Python function of one value: what it raises is the row's error. Values go in Arrow batches; a null,
+    as failed rows have, is not handed to it."""
+
+    @F.pandas_udf(f"res {kind}, err string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            if pd.isna(v):
+                out.append((None, None))
+                continue
+            try:
+                out.append((work(v), None))
+            except Exception as e:
+                out.append((None, str(e)))
+        frame = pd.DataFrame(out, columns=["res", "err"], dtype=object)
+        return frame
+
+    return run

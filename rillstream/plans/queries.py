@@ -226,6 +226,15 @@ def write_partitioned_roundtrip(spark, sf_dir):
     return sinks.read_back(spark, target, "event_id long, event_type string, value double")
 
 
+@query("select doc_id, source, lang || ' / *' as lang, source as s, lang || ' / *' as l from documents")
+def write_routed_roundtrip(spark, sf_dir):
+    target = sinks.Target(scratch_path(spark, "routed"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("lang", F.lit(" / *")).alias("lang"))
+    sinks.write_routed(docs, target, ["source", "lang"], "doc_id", files=2)
+    back = sinks.read_routed(spark, target, "doc_id long, source string, lang string")
+    return back.select("doc_id", "source", "lang", F.col("partitions")[0]["value"].alias("s"), F.col("partitions")[1]["value"].alias("l"))
+
+
 @query(RUNS_SQL + "select 'user_id=' || user_id || '/sorted_records_p' || lpad(cast(cluster_id as varchar), 4, '0') || '_s.json' as file, count(*) as rows from r where user_id < 40 group by all")
 def write_clustered_roundtrip(spark, sf_dir):
     target = sinks.Target(scratch_path(spark, "clusters"))
@@ -366,6 +375,17 @@ def ordered_drop(spark, sf_dir):
     return mapped(spark, sf_dir, [doubled], ordered_map.DROP)
 
 
+@query(ONE_SQL)
+def ordered_python(spark, sf_dir):
+    return mapped(spark, sf_dir, [ordered_map.python_stage(_double, "bigint")], ordered_map.IGNORE)
+
+
+def _double(v: int) -> int:
+    if v % 50 == 49:
+        raise ValueError(f"bad {v}")
+    return v * 2
+
+
 @query(f"with o as ({ONE_SQL}) select * from o where index <= (select min(index) from o where err is not null)")
 def ordered_abort(spark, sf_dir):
     return mapped(spark, sf_dir, [doubled], ordered_map.ABORT)

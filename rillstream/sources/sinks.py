@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstream.functions.jsontext import json_line, line_bytes
-from rillstream.functions.partition import pairs, partition_path
+from rillstream.functions.partition import pairs, parse_path, partition_path
 from rillstream.operators.rolling import roll_by_size
 
 
@@ -49,9 +49,9 @@ def write_lines(df: DataFrame, target: Target, order: Sequence[Column] = ()) ->
 
 
 def write_partitioned(df: DataFrame, target: Target, parts: Sequence[str], max_open: int = 0) -> None:
-    """Lines under key=value folders, keys and values escaped as partition keys are; max_open bounds open files a task."""
+    """Lines under key=value folders, named and escaped by Spark; a task has max_open files open at most (0: it sorts)."""
     spark = df.sparkSession
-    lines = df.select(json_line(df).alias("value"), *[_folder(F.col(p)).alias(p) for p in parts])
+    lines = df.select(json_line(df).alias("value"), *[F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in parts])
     held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(max_open))
     try:
@@ -61,9 +61,23 @@ def write_partitioned(df: DataFrame, target: Target, parts: Sequence[str], max_o
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", held)
 
 
-def _folder(col: Column) -> Column:
-    """Text that the writer's own escaping leaves alone."""
-    return F.coalesce(col.cast("string"), F.lit(""))
+def write_routed(df: DataFrame, target: Target, parts: Sequence[str], position: str, files: int = 1) -> DataFrame:
+    """Lines under partition paths with the escaping of partition keys: {parts}/unsorted_records_s{suffix}.json.
+
+    files splits every partition by a hash of the position, so that a large one is not one task's work; the suffix tells
+    the files apart. Returns file and rows.
+    """
+    kvs = pairs(**{p: F.col(p) for p in parts})
+    split = F.format_string("%04d", F.pmod(F.xxhash64(position), F.lit(files)).cast("int"))
+    named = df.select(unsorted_file(partition_path(kvs), split).alias("file"), F.col(position).alias("pos"), json_line(df).alias("line"))
+    return write_files(named, target)
+
+
+def read_routed(spark: SparkSession, target: Target, schema: str) -> DataFrame:
+    """Lines below target, with the pairs of their path as `partitions`."""
+    path = F.try_url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # Spark shows paths escaped once more
+    lines = spark.read.option("recursiveFileLookup", "true").text(target.base).select("value", parse_path(path).alias("partitions"))
+    return lines.select(F.from_json("value", schema).alias("v"), "partitions").select("v.*", "partitions")
 
 
 def cluster_file(parts: Column, cluster: Column, suffix: str = "") -> Column:
@@ -71,8 +85,8 @@ def cluster_file(parts: Column, cluster: Column, suffix: str = "") -> Column:
     return F.concat(parts, F.format_string("sorted_records_p%04d_s%s.json", cluster, F.lit(suffix)))
 
 
-def unsorted_file(parts: Column, suffix: str = "") -> Column:
-    return F.concat(parts, F.format_string("unsorted_records_s%s.json", F.lit(suffix)))
+def unsorted_file(parts: Column, suffix: Column) -> Column:
+    return F.concat(parts, F.lit("unsorted_records_s"), suffix, F.lit(".json"))
 
 
 def write_clustered(df: DataFrame, target: Target, parts: Sequence[str], cluster: str, position: str, suffix: str = "") -> DataFrame:

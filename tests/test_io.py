@@ -68,3 +68,15 @@ def test_streams_equal_batches(spark, tmp_path):
     for k in (0, 1):
         own = sorted((r.emitted, r.ts, r.i) for r in got if r.k == k)
         assert [o[0] for o in own] == list(range(len(own))) and [o[1:] for o in own] == sorted(o[1:] for o in own) and own
+
+
+def test_hooks_and_idle_streams(spark, tmp_path):
+    from rillstream.streaming import hooks
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    run = hooks.batch_writer(lambda df, n: seen.append(("write", df.count())), lambda df, n: seen.append("before"), lambda df, n: seen.append("after"))
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "log")).start()
+    hooks.stop_when_idle(query, 2)
+    assert not query.isActive and seen == ["before", ("write", 10), "after"]
