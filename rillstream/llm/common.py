@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstream.plans.scratch import staged, unstage
 
-__all__ = ["WORD", "Remembering", "free_name", "staged", "table", "text_or_empty", "unstage", "usable_vector", "vectors"]
+__all__ = ["WORD", "free_name", "staged", "table", "text_or_empty", "unstage", "usable_vector", "vectors"]
 
 #: Java and Python regular expression for one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,35 +47,3 @@ def usable_vector(col: str) -> Column:
     c = F.col(col)
     good = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return F.coalesce(c.isNotNull() & good & F.exists(c, lambda x: x != 0), F.lit(False))
-
-
-class Remembering(dict):
-    """A function of short keys with a memory of two generations: when the young one is full it becomes the old one.
-
-    Frequent keys are looked up at a dict's speed, and memory stays within twice `room` entries.
-    """
-
-    room = 350_000
-    longest = 256
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict = {}
-
-    def work_out(self, key):
-        raise NotImplementedError
-
-    def __missing__(self, key):
-        out = self.old.get(key)
-        if out is None:
-            out = self.work_out(key)
-            if len(key) > self.longest:
-                return out
-        if len(self) >= self.room:
-            self.turn()
-        self[key] = out
-        return out
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()

@@ -15,7 +15,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from itertools import batched, pairwise
 
 import numpy as np
@@ -23,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstream.llm.runs import CHUNK, RunMemory
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAX_LEN = 4096
@@ -33,11 +34,8 @@ PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[!-&(-/:-@\
 ASCII_MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Runs encoded at once.
 TOGETHER = 64
-#: Bytes of text worked on at once, and the length from which runs are encoded alone.
-CHUNK = 1 << 20
+#: The length from which runs are encoded alone.
 LONGEST = 256
-POWER = np.uint64(0x9E3779B97F4A7C15)
-MIX = np.uint64(0xD6E8FEB86659FD93)
 BREAK = re.compile(rb"[\x20\x09-\x0D]")
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,15 +45,13 @@ PIECES = (
 )
 
 
-class WordIds:
+class WordIds(RunMemory):
     """Ids of texts, by the library and in numpy.
 
     The vocabulary's normaliser and splitter drop white space and never look across it, so a text's ids are those of
-    its runs between ASCII white space, in order. Runs are hashed in bulk; the library works out each distinct run
-    once, and what it gave is kept under the run's 64-bit hash, length and first bytes, up to `room` runs.
+    its runs between ASCII white space, in order. The library works out each distinct run once.
     """
 
-    room = 2_000_000
     most_ids = 16_000_000
 
     def __init__(self, path: str):
@@ -68,12 +64,10 @@ class WordIds:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(WORD_END)]] = True
-        self.values = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
-        self.powers = np.zeros(0, np.uint64)
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
-        self.known = [Known.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2  # most, and recent ones
+        super().forget()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def of(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -105,14 +99,14 @@ class WordIds:
         if not len(starts):
             return [b""] * len(raws)
         distinct, first, inv = np.unique(self.hashes(c, starts, stops), return_index=True, return_inverse=True)
-        at, n = self.look_up(distinct)
-        new = np.flatnonzero(n < 0)
+        at, n, found = self.look_up(distinct)
+        new = np.flatnonzero(~found)
         if len(new):
-            if len(self.known[0].h) + len(self.known[1].h) + len(new) > self.room or self.used > self.most_ids:
+            if self.full(len(new)) or self.used > self.most_ids:
                 self.forget()
                 new = np.arange(len(distinct))
             self.learn(distinct[new], [text[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-            at, n = self.look_up(distinct)
+            at, n, _ = self.look_up(distinct)
         sizes = n[inv]
         total = np.cumsum(sizes)
         ids = self.pool[np.repeat(at[inv] - (total - sizes), sizes) + np.arange(total[-1])].astype("<u4").tobytes()
@@ -120,30 +114,6 @@ class WordIds:
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], ends]))] * 4
         return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
-    def hashes(self, c: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """A polynomial hash of each run, modulo 2^64, of random values for bytes; mixed with length and first bytes."""
-        n = len(c)
-        with np.errstate(over="ignore"):
-            if len(self.powers) < n:
-                self.powers = np.cumprod(np.full(max(n, 2 * CHUNK), POWER, np.uint64))
-            falling = self.powers[len(self.powers) - n :][::-1]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[c] * falling)])
-            h = (total[stops] - total[starts]) * self.powers[stops - 1]  # wherever a run ends, its last byte has one power
-            h ^= (stops - starts).astype(np.uint64) * MIX
-            h = (h ^ (h >> np.uint64(31))) * MIX
-            h ^= self.values[c[starts]] + (self.values[c[stops - 1]] << np.uint64(1))
-        return h
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each hash; -1 ids where it is not known."""
-        at, n = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int32)
-        for k in self.known:
-            if len(k.h):
-                i = np.minimum(np.searchsorted(k.h, h), len(k.h) - 1)
-                hit = k.h[i] == h
-                at[hit], n[hit] = k.at[i[hit]], k.n[i[hit]]
-        return at, n
-
     def learn(self, h: np.ndarray, runs: list[bytes]) -> None:
         plain = [k for k, w in enumerate(runs) if len(w) <= LONGEST and PLAIN.fullmatch(w)]
         out: list = [None] * len(runs)
@@ -166,29 +136,8 @@ class WordIds:
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + total] = np.concatenate(out) if out else []
-        recent = self.known[1].with_(h, self.used + np.cumsum(n) - n, n)
+        self.keep(h, self.used + np.cumsum(n) - n, n)
         self.used += total
-        if len(recent.h) > max(50_000, len(self.known[0].h) // 4):
-            self.known = [self.known[0].with_(recent.h, recent.at, recent.n), Known.of(h[:0], recent.at[:0], n[:0])]
-        else:
-            self.known = [self.known[0], recent]
-
-
-@dataclass(frozen=True)
-class Known:
-    """Sorted hashes, with place and number of ids."""
-
-    h: np.ndarray
-    at: np.ndarray
-    n: np.ndarray
-
-    @staticmethod
-    def of(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> Known:
-        order = h.argsort()
-        return Known(h[order], at[order], n[order])
-
-    def with_(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> Known:
-        return Known.of(np.concatenate([self.h, h]), np.concatenate([self.at, at]), np.concatenate([self.n, n]))
 
 
 def cut(raw: bytes) -> Iterator[bytes]:

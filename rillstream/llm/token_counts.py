@@ -11,14 +11,16 @@ each, as the library's default has it; repeated rows give repeated results; furt
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstream.llm.common import Remembering
 from rillstream.llm.packing import tokenizer_path
+from rillstream.llm.runs import CHUNK, RunMemory
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -26,6 +28,7 @@ LIMIT = 1024
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which any two regular expression libraries agree; other pieces go to the library whole.
 PLAIN = r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ſ]*"
+#: More than any text has tokens.
 UNSURE = -(1 << 40)
 
 
@@ -36,14 +39,18 @@ def _byte_strings() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Counter(Remembering):
-    """Tokens of a piece that is followed by a space or the end, the space before it included."""
+class Counter(RunMemory):
+    """Counts tokens of texts. A text is cut before spaces; each piece, with the space before it, is worked out once.
+
+    The library, too, cuts before a space that has no white space next to it, so counts of pieces add up. Where white
+    space meets a cut the text is counted whole.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -51,6 +58,7 @@ class Counter(Remembering):
         self.plain = regex.compile(PLAIN)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = self.proved()
+        super().__init__()
 
     def proved(self) -> frozenset[str]:
         """Vocabulary strings that are one pre-token and that the library encodes alone as one token."""
@@ -71,29 +79,73 @@ class Counter(Remembering):
         return len(self.tok.encode(s, add_special_tokens=False).ids)
 
     def pretokens(self, s: str) -> int:
-        if not self.plain.fullmatch(s):
-            return self.merged(s)
-        return sum(1 if p in self.whole else self.merged(p) for p in self.pre.findall(s))
-
-    def work_out(self, piece: str) -> int:
-        """UNSURE where white space meets the cut, so that the cut may be none for the library."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return UNSURE
-        return self.pretokens(" " + piece)
-
-    def segment(self, text: str) -> int:
-        """A text without special strings. The library cuts before a space between two other characters."""
-        first, *rest = text.split(" ")
-        n = sum([self[p] for p in rest])
-        if n < 0 or first[:1].isspace() or first[-1:].isspace():
-            return self.pretokens(text)
-        return n + (self.pretokens(first) if first else 0)
-
-    def of(self, text: str) -> int:
-        for s in self.special:
-            if s in text:
-                return self.merged(text)
-        return self.segment(text)
+        return self.work_out([s])[0]
+
+    def work_out(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece: whole tokens count 1, other pre-tokens are merged by the library, all at once."""
+        out, at, rest = [0] * len(pieces), [], []
+        for k, s in enumerate(pieces):
+            for p in self.pre.findall(s) if self.plain.fullmatch(s) else (s,):
+                if p in self.whole:
+                    out[k] += 1
+                else:
+                    at.append(k)
+                    rest.append(p)
+        for k, e in zip(at, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[k] += len(e)
+        return out
+
+    @staticmethod
+    def unsure(piece: bytes) -> bool:
+        """Whether white space meets the cut."""
+        s = piece.decode()
+        return s[0].isspace() or s[-1].isspace()
+
+    def of(self, texts: list[str]) -> list[int]:
+        out: list[int | None] = [self.merged(t) if any(s in t for s in self.special) else None for t in texts]
+        held: list[int] = []
+        size = 0
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                held.append(k)
+                size += len(t)
+            if held and (size > CHUNK // 2 or k == len(texts) - 1):
+                for i, n in zip(held, self.bulk([texts[i].encode() for i in held]), strict=True):
+                    out[i] = n if n >= 0 else self.pretokens(texts[i])
+                held, size = [], 0
+        return out
+
+    def bulk(self, raws: list[bytes]) -> list[int]:
+        """Counts of texts, below 0 for those that must be counted whole."""
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        text = b" ".join(raws) + b" "
+        c = np.frombuffer(text, np.uint8)
+        stops = np.flatnonzero(c == 32)  # the end of every piece; those of texts among them
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        owner = np.searchsorted(ends, stops, side="right")
+        first = np.ones(len(stops), bool)
+        first[1:] = owner[1:] != owner[:-1]
+        counts = np.zeros(len(stops), np.int64)
+        empty = starts == stops
+        counts[empty & ~first] = UNSURE
+        some = np.flatnonzero(~empty)
+        if len(some):
+            h = self.hashes(c, starts[some], stops[some]) ^ first[some].astype(np.uint64)
+            distinct, at, inv = np.unique(h, return_index=True, return_inverse=True)
+            values, _, found = self.look_up(distinct)
+            new = np.flatnonzero(~found)
+            if len(new):
+                if self.full(len(new)):
+                    self.forget()
+                own = some[at[new]]
+                pieces = [text[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist(), strict=True)]
+                sure = [k for k, p in enumerate(pieces) if not self.unsure(p)]
+                found = np.full(len(new), UNSURE)
+                found[sure] = self.work_out([("" if first[own[k]] else " ") + pieces[k].decode() for k in sure])
+                values[new] = found
+                self.keep(distinct[new], values[new], np.zeros(len(new), np.int32))
+            counts[some] = values[inv]
+        return np.bincount(owner, counts, len(raws)).astype(np.int64).tolist() if len(owner) else [0] * len(raws)
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,7 +168,7 @@ def count_tokens(
         for batch in batches:
             texts = [t.as_py() or "" for t in batch[1]]
             sizes = [len(t.encode()) for t in texts]
-            counts = [count.of(t) for t in texts]
+            counts = count.of(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch[0], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -63,15 +63,17 @@ def test_fast_paths_equal_the_libraries():
     for t, e, got in zip(texts, words.tok.encode_batch(texts, add_special_tokens=False), list(words.of(texts)), strict=True):
         assert np.array(e.ids, "<u4").tobytes() == got, t
     count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
-    for t, e in zip(texts, reference("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False), strict=True):
-        assert len(e.ids) == count.of(t), t
+    for t, e, n in zip(texts, reference("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False), count.of(texts), strict=True):
+        assert len(e.ids) == n, t
 
 
 def test_memory_of_pieces_is_bounded():
     count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
     count.room = 10
-    text = " ".join(f"w{i}" for i in range(100))
-    assert count.of(text) == count.merged(text) and len(count) <= 10 and len(count.old) <= 10
+    texts = [" ".join(f"w{i}" for i in range(k, k + 7)) for k in range(50)]
+    for t in texts:
+        assert count.of([t]) == [count.merged(t)] and len(count.most.h) + len(count.recent.h) <= 10
+    assert count.of([]) == [] and count.of(["", "a", ""]) == [0, 1, 0]
 
 
 def test_every_whole_token_is_proved():
