@@ -64,7 +64,7 @@ def drop_boilerplate(docs: DataFrame, *, site_col: str, text_col: str = "text",
     joined = docs.join(arrays, docs[site_col].cast("string").eqNullSafe(F.col(at)), "left")
     kept = F.filter(lines(docs[text_col]), lambda x: ~F.array_contains(F.col(gone), digest(x)))
     joined = joined.withColumn(text, F.when(F.col(gone).isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")))
-    cols = [F.col(text).alias(c) if c == text_col else docs[c] for c in docs.columns]
+    cols = [F.col(text).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
     if count_col is None:
         return joined.select(*cols)
     n = lambda t: F.coalesce(F.size(F.filter(lines(t), lambda x: F.trim(x) != "")), F.lit(0))

@@ -131,7 +131,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str
     other = sources.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut))
     joined = docs.join(F.broadcast(other) if small else other, docs[source_col].cast("string").eqNullSafe(F.col(of)))
     repeats = F.col(whole) + F.when(draw(docs[id_col], seed) <= F.col(cut), 1).otherwise(0)
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats))).alias(n)).drop(n)
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats))).alias(n)).drop(n)
 
 
 ORACLE_SQL = r"""
