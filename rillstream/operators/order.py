@@ -119,7 +119,8 @@ def cluster_runs(df: DataFrame, key: str, position: str, partition_by: Sequence[
     """Splits each partition value's rows into sorted runs, first fit: a row goes to the first run whose last key is not
     above its own, or opens a run. The runs' last keys fall from run to run, so that run is found by bisection.
 
-    Rows stream through in position order; a task holds the last keys of the runs of one partition value. buffer_size
+    Rows stream through in position order; a task holds the last keys of the runs of one partition value. Without
+    partition_by all rows are one sequence, as for the runs of an external sort. buffer_size
     puts a bounded sort before, which makes fewer runs (and drops the older of equal keys that meet in the buffer).
     """
     if buffer_size:

@@ -80,6 +80,13 @@ def read_routed(spark: SparkSession, target: Target, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("v"), "partitions").select("v.*", "partitions")
 
 
+def memory_view(df: DataFrame, name: str) -> DataFrame:
+    """Lines kept by Spark (memory first, disk beyond) under a view's name; for tests and small results."""
+    lines = df.select(json_line(df).alias("value")).persist()
+    lines.createOrReplaceTempView(name)
+    return lines
+
+
 def cluster_file(parts: Column, cluster: Column, suffix: str = "") -> Column:
     """{parts}/sorted_records_p0000_s{suffix}.json"""
     return F.concat(parts, F.format_string("sorted_records_p%04d_s%s.json", cluster, F.lit(suffix)))

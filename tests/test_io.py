@@ -80,3 +80,8 @@ def test_hooks_and_idle_streams(spark, tmp_path):
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "log")).start()
     hooks.stop_when_idle(query, 2)
     assert not query.isActive and seen == ["before", ("write", 10), "after"]
+
+
+def test_memory_view(spark):
+    sinks.memory_view(spark.createDataFrame([(1, None)], "a int, b string"), "kept")
+    assert [r.value for r in spark.sql("select * from kept").collect()] == ['{"a":1,"b":null}']

@@ -159,3 +159,14 @@ def test_idle_sessions_end_at_exactly_the_gap(spark):
     assert got == [0, 0, 1]
     alarm = liveness.idle_alarms(df, ["k"], "ts", 30_000_000, F.lit("2024-01-01 00:01:28").cast("timestamp")).first()
     assert not alarm.idle and alarm.remaining_us == 1_000_000
+
+
+def test_external_sort_of_global_runs_keeps_duplicates(spark):
+    r = random.Random(9)
+    loads = [[r.randrange(2000) for _ in range(n)] for n in (20, 100, 10, 5, 10)] + [[7] * 5]
+    values = [v for load in loads for v in load]
+    runs = order.cluster_runs(frame(spark, values).repartition(3), "v", "pos", [])
+    assert [x.cluster_id for x in runs.orderBy("pos").collect()] == first_fit(values)
+    got = order.external_sort(runs, ["v"], "cluster_id", "pos").collect()
+    assert [x.v for x in got] == sorted(values)
+    assert [(x.v, -x.cluster_id, x.pos) for x in got] == sorted((x.v, -x.cluster_id, x.pos) for x in got)
