@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillstream.operators.order import _in_order, _tuples
 from rillstream.operators.ranks import with_sum_before
+from rillstream.plans.scratch import staged
 
 
 def prefix_max_bytes(df: DataFrame, size_col: str, position: str, limit: int) -> DataFrame:
@@ -19,26 +21,72 @@ def prefix_max_bytes(df: DataFrame, size_col: str, position: str, limit: int) ->
     return with_sum_before(df, [F.col(position)], F.col(size_col), "__before").where(F.col("__before") < limit).drop("__before")
 
 
+class Roller:
+    """Follows sizes and tells where files start: a file ends after the row that makes it exceed the limit."""
+
+    def __init__(self, limit: int):
+        self.limit, self.written = limit, 0
+
+    def starts(self, sizes: np.ndarray) -> np.ndarray:
+        """Rows after which a new file starts; one search for each file, not a step for each row."""
+        total = np.cumsum(sizes)
+        ends, before = [], -self.written
+        while self.limit > 0 and len(total):
+            k = int(np.searchsorted(total, before + self.limit, side="right"))
+            if k == len(total):
+                break
+            ends.append(k)
+            before = int(total[k])
+        self.written = int(total[-1]) - before if len(total) else self.written
+        return np.array(ends, np.int64)
+
+
 def roll_by_size(df: DataFrame, size_col: str, position: str, limit: int, within: Sequence[str] = (), name: str = "file_idx") -> DataFrame:
     """Numbers files: a file ends after the row that makes it exceed `limit` bytes; no limit if it is 0 or less.
 
-    Where a file starts depends on every row before, so one order is one task, which streams through it and holds one
-    number. `within` rolls each group on its own, which is how to roll at scale.
+    Where a file starts depends on all sizes before. Of one order, only positions and sizes go through one task, sorted
+    by many before and searched in bulk; what comes out is a row for each file. The rows themselves are numbered where
+    they are, by a running count of starts over range partitions. Positions must be unique.
+
+    `within` numbers the files of each group on its own, in one shuffle by group.
     """
+    if within:
+        return _roll_within(df, size_col, position, limit, list(within), name)
+    if limit <= 0:
+        return df.withColumn(name, F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller, fresh = Roller(limit), False
+        for batch in batches:
+            ends = roller.starts(batch[1].to_numpy(zero_copy_only=False).astype(np.int64)) + 1
+            at = np.concatenate([[0], ends]) if fresh else ends
+            fresh = len(ends) > 0 and ends[-1] == len(batch) or (fresh and not len(batch))
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(at[at < len(batch)]))], names=["__opens"])
+
+    kind = T.StructType([T.StructField("__opens", df.schema[position].dataType)])
+    slim = df.select(F.col(position), F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
+    starts = staged(slim.orderBy(position).coalesce(1).mapInArrow(run, kind), "file-starts")
+    marked = df.join(starts, F.col(position) == F.col("__opens"), "left").withColumn("__new", F.col("__opens").isNotNull().cast("long"))
+    counted = with_sum_before(marked, [F.col(position)], F.col("__new"), "__seen")
+    return counted.withColumn(name, (F.col("__seen") + F.col("__new")).cast("long")).select(*df.columns, name)
+
+
+def _roll_within(df: DataFrame, size_col: str, position: str, limit: int, parts: list[str], name: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    parts = list(within)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, written, index = None, 0, 0
+        now, roller, index = None, Roller(limit), 0
         for frame in frames:
+            keys, sizes = _tuples(frame, parts), frame[size_col].fillna(0).to_numpy(np.int64)
+            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
             out = np.empty(len(frame), np.int64)
-            for k, (part, n) in enumerate(zip(_tuples(frame, parts), frame[size_col].tolist(), strict=True)):
-                if part != now:
-                    now, written, index = part, 0, 0
-                out[k] = index
-                written += n
-                if 0 < limit < written:
-                    written, index = 0, index + 1
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if keys[a] != now:
+                    now, roller, index = keys[a], Roller(limit), 0
+                new = np.zeros(b - a + 1, np.int64)
+                new[roller.starts(sizes[a:b]) + 1] = 1
+                numbers = index + np.cumsum(new)
+                out[a:b], index = numbers[:-1], int(numbers[-1])
             yield frame.assign(**{name: out})
 
     return _in_order(df, parts, position).mapInPandas(run, schema)

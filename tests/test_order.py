@@ -122,6 +122,28 @@ def test_roll_by_size_ends_a_file_after_the_row_that_exceeds(spark):
     assert files(98) == [i // 3 for i in range(10)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rolling_equals_a_loop(spark, seed):
+    r = random.Random(seed)
+    sizes = [r.choice([0, 1, 5, 30, 200]) for _ in range(400)]
+    want, written, index = [], 0, 0
+    for n in sizes:
+        want.append(index)
+        written += n
+        if written > 100:
+            written, index = 0, index + 1
+    df = frame(spark, sizes).withColumn("g", F.lit("a")).repartition(5)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for within in ([], ["g"]):
+                assert [x.file_idx for x in rolling.roll_by_size(df, "v", "pos", 100, within).orderBy("pos").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert rolling.roll_by_size(df.limit(0), "v", "pos", 100).count() == 0
+
+
 def test_prefix_max_bytes(spark):
     df = frame(spark, [10, 10, 10, 10]).repartition(3)
     taken = lambda n: sorted(r.pos for r in rolling.prefix_max_bytes(df, "v", "pos", n).collect())
