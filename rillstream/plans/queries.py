@@ -476,13 +476,18 @@ def stream_clusters(spark, sf_dir):
     return stateful.run_available(found, "stream-clusters")
 
 
-@query()
+MARK_SQL = "epoch_ms((select max(ts) from events)) - 3600000"  # the watermark after all rows, in milliseconds
+
+
+@query(f"select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) - 1 as emitted from events where epoch_us(ts) <= ({MARK_SQL}) * 1000")
 def stream_ordered_emit(spark, sf_dir):
     events = event_stream(spark, sf_dir, "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     return stateful.run_available(stateful.ordered_stream(events, ["user_id"], "ts", "event_id"), "stream-ordered")
 
 
-@query()
+@query(f"""with g as (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) >= {DAY_US} then 1 else 0 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts) as n from g)
+select user_id, min(ts) as first_ping, max(ts) as last_ping, count(*) as pings from s group by user_id, n having epoch_us(max(ts)) + {DAY_US} - 1 <= ({MARK_SQL}) * 1000""")
 def stream_sessions(spark, sf_dir):
     events = event_stream(spark, sf_dir, "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
     return stateful.run_available(stateful.sessions_stream(events, ["user_id"], "ts", "1 day"), "stream-sessions")

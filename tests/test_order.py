@@ -67,6 +67,23 @@ def test_bounded_sort_with_room_for_all_is_a_sort_of_the_last_of_each_key(spark)
         order.bounded_sort(df, ["v"], "pos", 0, ["g"])
 
 
+@pytest.mark.parametrize("lookahead", [1, 4, 16])
+def test_bounded_sort_and_buffered_runs_equal_a_loop(spark, lookahead):
+    r = random.Random(lookahead)
+    values, held, want = [r.randint(0, 60) for _ in range(200)], {}, []
+    for i, v in enumerate(values):
+        if v not in held and len(held) == lookahead:
+            low = min(held)
+            want.append((low, held.pop(low)))
+        held[v] = i
+    want += sorted(held.items())
+    df = frame(spark, values).withColumn("g", F.lit("a")).repartition(3)
+    got = order.bounded_sort(df, ["v"], "pos", lookahead, ["g"]).orderBy("emitted").collect()
+    assert [(x.v, x.pos) for x in got] == want
+    runs = order.cluster_runs(df, "v", "pos", ["g"], buffer_size=lookahead).collect()
+    assert {x.pos: x.cluster_id for x in runs} == dict(zip([p for _, p in want], first_fit([v for v, _ in want]), strict=True))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cluster_runs_is_first_fit_and_runs_are_sorted(spark, seed):
     r = random.Random(seed)
