@@ -3,7 +3,7 @@
 Rows are dealt to shards by a hash of their id. A shard keeps each distinct vector once, with all ids that have it, and
 a hierarchy of levels, each a random part of the one below. On every level a vector is linked to diverse near vectors
 of that level and, so that the graph stays navigable when vectors come in tight clusters, to near ones of the levels
-above; links go both ways. The graph is stored as flat arrays of neighbour numbers. Queries go in blocks to every shard:
+above; links go both ways. The graph is stored as flat arrays of neighbour numbers. Queries go in blocks to every shard, a bounded number of blocks at a time:
 greedy descent, then a beam on the ground level; the beam is re-ranked exactly, and shard results are merged.
 
 Defined results: vectors that are null, zero, of another length than most or hold null or non-finite components take no
@@ -14,7 +14,6 @@ smaller id; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ from rillstream.llm.common import staged, usable_vector, vectors
 #: Rows of a shard, about; queries of a block, about.
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
+#: Blocks that a task puts to a shard's graph: it holds these and the graph.
+TOGETHER = 64
 LINKS = 16
 MOST_LINKS = 64
 LEVEL_PART = 16
@@ -250,19 +251,23 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
     packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(block, "block int, q_ids binary, q binary")
     n = shards.agg(F.max("shard")).first()[0]
     every = F.array().cast("array<int>") if n is None else F.sequence(F.lit(0), F.lit(n))
-    sent = packed.withColumn("shard", F.explode(every))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, g = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != at:
-                    at, g = row["shard"], Graph.of_row(row)
-                ids = np.frombuffer(row["q_ids"], "<i8")
-                q, v, d = g.search(ids, np.frombuffer(row["q"], np.float64).reshape(len(ids), -1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], names=["query_id", "vec_id", "score"])
-
-    found = sent.join(shards, "shard").select(*[c.split(" ")[0] for c in SHARD.split(", ")], "q_ids", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+    sent = packed.withColumn("turn", F.floor(F.col("block") / TOGETHER).cast("int")).withColumn("to", F.explode(every))
+    turns = F.sequence(F.lit(0), F.lit((blocks - 1) // TOGETHER))
+    asked_of = shards.withColumn("turn", F.explode(turns))
+
+    def run(questions: pa.Table, graphs: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if graphs.num_rows and questions.num_rows:
+            g = Graph.of_row(graphs.slice(0, 1).to_pylist()[0])
+            for k in range(questions.num_rows):
+                ids = np.frombuffer(questions["q_ids"][k].as_py(), "<i8")
+                out.append(g.search(ids, np.frombuffer(questions["q"][k].as_py(), np.float64).reshape(len(ids), -1), k_nearest))
+        q, v, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query_id": q, "vec_id": v, "score": d})
+
+    k_nearest = k
+    pairs = sent.groupBy("to", "turn").cogroup(asked_of.groupBy("shard", "turn"))
+    found = pairs.applyInArrow(run, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
