@@ -110,3 +110,17 @@ def test_vectors_without_label_and_none(spark):
     got = embedding_dedup.near_duplicates(frame(spark, x)).where("vec_id < 1000").collect()
     assert all(r.n_links == 0 and r.kept for r in got)
     assert embedding_dedup.near_duplicates(frame(spark, x).limit(0)).count() == 0
+
+
+def test_a_dense_cluster_larger_than_a_group(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=8) + 0.01 * r.normal(size=(260, 8)), r.normal(size=(100, 8))]).astype(np.float32)
+    labels = np.zeros(360, int)
+    df = frame(spark, x, labels, bad=False)
+    classes = df.select(F.lit("0").alias("label"), F.lit(8).alias("dim"), F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), F.col("embedding").cast("array<double>").alias("v"))
+    dealt = embedding_dedup.cells(classes, 0.98, 40, 0)
+    sizes = dealt.groupBy("label", "dim", "pass", "code", "p", "q").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 160 and dealt.where("p <> q").count() > 0
+    got = {v.vec_id: v for v in embedding_dedup.near_duplicates(df, group_rows=40).collect()}
+    n, root = slow_links(x, labels)
+    assert {i: (got[i].n_links, got[i].component_id) for i in range(360)} == {i: (n[i], root[i]) for i in range(360)}
