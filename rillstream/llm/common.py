@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillstream.plans.scratch import staged, unstage
 
-__all__ = ["WORD", "free_name", "staged", "table", "text_or_empty", "unstage", "usable_vector", "vectors"]
+__all__ = ["WORD", "free_name", "sliced", "staged", "table", "text_or_empty", "unstage", "usable_vector", "vectors"]
 
 #: Java and Python regular expression for one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +46,22 @@ def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """At a task's end returns freed memory to the system: a worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def usable_vector(col: str) -> Column:
     """True where the vector is not null, not all zero and has only finite components."""
     c = F.col(col)

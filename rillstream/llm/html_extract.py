@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstream.llm.common import sliced
+
 OTHER, MAIN = 0, 1
 PAGES = 900
 EPOCHS = 10
@@ -422,7 +424,7 @@ def extract(pages: DataFrame, field: Field | None = None, *, id_col: str = "page
     held = pages.sparkSession.sparkContext.broadcast(field or trained())  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(held.value, h.as_py()) for h in batch[2]]
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])

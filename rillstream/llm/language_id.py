@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstream.llm.common import sliced
+
 UNKNOWN = "und"
 ORDERS = (3, 4)
 #: Documents for each language that the filters are fitted on, at about this number.
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(filters)  # 2^SLOT_BITS slots, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = held.value.predict(batch[1].to_pylist())
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -212,7 +214,7 @@ def recognised(docs: DataFrame, filters: Filters, *, text_col: str = "text", lea
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = held.value.predict(batch[at].to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

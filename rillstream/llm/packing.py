@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstream.llm.common import sliced
 from rillstream.llm.runs import CHUNK, RunMemory
 
 TOKENIZER = "word_bpe_49k.json"
@@ -189,7 +190,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer_path(tokenizer, TOKENIZER))
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             ids_out: list[np.ndarray] = []
             texts = (t.as_py() or "" for t in batch[1])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstream.llm.common import free_name, staged
+from rillstream.llm.common import free_name, sliced, staged
 from rillstream.llm.components import components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint's 64 bits as a long), one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = [signed(fingerprint(t.as_py(), shingle)) for t in batch[1]]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 

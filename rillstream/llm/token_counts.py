@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstream.llm.common import sliced
 from rillstream.llm.packing import tokenizer_path
 from rillstream.llm.runs import CHUNK, RunMemory
 
@@ -165,7 +166,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path(tokenizer, TOKENIZER))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.as_py() or "" for t in batch[1]]
             sizes = [len(t.encode()) for t in texts]
             counts = count.of(texts)
