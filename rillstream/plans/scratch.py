@@ -24,10 +24,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the scratch folder and reads it back; what reads it again needs none of what made it."""
+def staged(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
+    """Writes df to the scratch folder and reads it back; what reads it again needs none of what made it.
+
+    gather is for slim rows made by tasks that read wide ones: a rebalancing shuffle puts them into files of Spark's
+    advisory size instead of one small file for each task.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if gather else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
