@@ -71,6 +71,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
             n_words(text_col).alias("size"), draw(id_col, seed).alias("u"),
         ),
         "sized",
+        gather=True,
     )
     ranges = staged(
         rows.groupBy("source", F.shiftright("u", HASH_BITS - RANGES).alias("range")).agg(F.sum("size").alias("words")), "ranges"

@@ -103,7 +103,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row."""
-    rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints", gather=True)
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     roots = components(links(classes.where("node is not null"), radius), "simhash")
     rooted = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
