@@ -241,6 +241,13 @@ def write_clustered_roundtrip(spark, sf_dir):
     return sinks.write_clustered(runs(spark, sf_dir).where("user_id < 40"), target, ["user_id"], "cluster_id", "event_id")
 
 
+@query(RUNS_SQL + "select 'user_id=' || user_id || '/sorted_records_p' || lpad(cast(cluster_id as varchar), 4, '0') || '_s.json' as file, count(*) as rows from r group by all")
+def write_clustered_all_roundtrip(spark, sf_dir):
+    """The runs of every user; write_clustered_roundtrip and its SQL look at the users below 40 only."""
+    target = sinks.Target(scratch_path(spark, "clusters"))
+    return sinks.write_clustered(runs(spark, sf_dir), target, ["user_id"], "cluster_id", "event_id")
+
+
 ROLL_SQL = """
 with recursive d as (select doc_id, strlen({size}) + 1 as b, row_number() over (order by doc_id) as rn from documents),
 r as (select doc_id, rn, 0::bigint as file_idx, case when b > 20000 then 0 else b end as acc, case when b > 20000 then 1 else 0 end as nxt from d where rn = 1

@@ -85,3 +85,18 @@ def test_hooks_and_idle_streams(spark, tmp_path):
 def test_memory_view(spark):
     sinks.memory_view(spark.createDataFrame([(1, None)], "a int, b string"), "kept")
     assert [r.value for r in spark.sql("select * from kept").collect()] == ['{"a":1,"b":null}']
+
+
+def test_clustered_files_hold_every_user(spark, tmp_path):
+    from rillstream.plans.queries import QUERIES
+
+    events = [(i, 7 * (i % 12), float((i * 37) % 11)) for i in range(240)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["write_clustered_all_roundtrip"](spark, str(tmp_path)).collect()
+    want = {}
+    for _, user, value in events:
+        tails = want.setdefault(user, [])
+        k = next((i for i, t in enumerate(tails) if value >= t[0]), len(tails))
+        tails[k:k + 1] = [(value, (tails[k][1] if k < len(tails) else 0) + 1)]
+    assert sorted(map(tuple, got)) == sorted((f"user_id={u}/sorted_records_p{k:04d}_s.json", n) for u, tails in want.items() for k, (_, n) in enumerate(tails))
+    assert max(want) > 40 and sum(r.rows for r in got) == len(events)
