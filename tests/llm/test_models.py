@@ -137,6 +137,22 @@ def test_words_share_buckets_with_their_stems():
     assert len(lists[0] & lists[1]) >= 5 and all(lists)
 
 
+def test_long_words_count_to_their_end():
+    r = random.Random(4)
+    for n in (64, 65, 112, 113, 700):
+        w = "".join(r.choices("etaoinsr", k=n))
+        ps = toxicity.words(f"a {w} b")[1:-1]
+        assert all(len(p) <= toxicity.LONGEST for p in ps) and len(ps) == 1 + max(0, -((64 - n) // 48))
+        assert all(any(w[k : k + 16] in p for p in ps) for k in range(n - 15))
+    rows = made(600)
+    model = toxicity.train([t for _, t, _ in rows], toxicity.np.array([y for _, _, y in rows]), toxicity.np.array([""] * len(rows)))
+    far = "".join(r.choices("etaoinsr", k=200))
+    clean, toxic = toxicity.Scorer(model).scores([far + "etaoin" + far, far + "zukwab" + far])
+    assert toxic > clean
+    flat, starts = toxicity.bucket_lists(["zukwab", "a"])
+    assert all((x == y).all() for x, y in zip((flat, starts), toxicity.chunked_lists(["zukwab", "a"], 1), strict=True))
+
+
 def test_toxicity_of_the_table(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = QUERIES["op10_toxicity"](spark, SF)
