@@ -28,8 +28,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.representatives(docs)
+    """One document of each group stays: of fingerprints up to two bits apart, or of texts that share four fifths of
+    their five-word shingles."""
+    return simhash.representatives(docs, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

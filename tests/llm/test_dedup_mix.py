@@ -82,6 +82,35 @@ def test_near_duplicates_with_strange_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
+def test_edited_copies_fall_together(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+
+    def edited(ws, n):
+        ws = list(ws)
+        for k in r.sample(range(len(ws)), n):
+            ws[k] = r.choice(vocabulary)
+        return ws
+
+    bases = [r.choices(vocabulary, k=r.choice([40, 90, 200])) for _ in range(12)]
+    texts = [" ".join(edited(b, e)) for b in bases for e in (0, 1, 1, 2, 3, 5)]
+    texts += [" ".join(edited(bases[0], k % 2)) for k in range(20)] + ["one two", "One  two", "", None]
+
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {" ".join(ws[k : k + 5]) for k in range(max(min(1, len(ws)), len(ws) - 4))}
+
+    fps, sets = [slow_fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    close = [(a, b) for a, b in combinations(range(len(texts)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    alike = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = slow_components(list(range(len(texts))), close + alike)
+    assert want != slow_components(list(range(len(texts))), close)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = simhash.near_duplicates(docs, similarity=0.8).collect()
+    assert {x.doc_id: x.component_id for x in got} == want and len(got) == len(texts)
+    assert {x.doc_id for x in simhash.representatives(docs, similarity=0.8).collect()} == set(want.values())
+
+
 def test_components_of_paths_stars_and_cliques(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + list(combinations(range(200, 215), 2)) + [(5, 5)]
