@@ -1,4 +1,5 @@
-"""Connected components of an undirected graph by alternating large-star and small-star rounds."""
+"""Connected components of an undirected graph by alternating large-star and small-star rounds; a graph that was counted
+and fits one task is solved there in one go."""
 
 from __future__ import annotations
 
@@ -12,29 +13,44 @@ from pyspark.sql import functions as F
 from rillstream.llm.common import staged, unstage
 
 
+#: Edges (16 bytes each) up to which one task takes them all.
+ONE_TASK = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the smallest one of its component, and that one."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[: len(a)], inv[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    while (label[label] != label).any():
+        label = label[label]
+    off = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[off], nodes[label[off]]
+
+
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch of edges as stars around the smallest node of its own components: never more edges than before."""
     for batch in batches:
-        a, b = (batch[i].to_numpy(zero_copy_only=False) for i in (0, 1))
-        nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = inv[: len(a)], inv[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        while (label[label] != label).any():
-            label = label[label]
-        off = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[label[off]])], names=["a", "b"])
+        a, b = stars(*(batch[i].to_numpy(zero_copy_only=False) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
 
+def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task at once."""
+    held = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    yield from (b.rename_columns(["node", "root"]) for b in contracted(iter(held.combine_chunks().to_batches())))
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame, label: str = "components", rounds: int = 40, most_alone: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of edges(a long, b long) but the roots; root is the smallest node of its component.
 
     Every round is two joins on a node with its smallest neighbour, which Spark can split where a node is hot, and is
@@ -42,6 +58,10 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     held = staged(edges.mapInArrow(contracted, "a long, b long").distinct(), label)
+    if held.count() <= most_alone:
+        done = staged(held.coalesce(1).mapInArrow(solved, "node long, root long"), label)
+        unstage(held)
+        return done
     before = None
     for _ in range(rounds):
         both = held.union(held.select("b", "a"))

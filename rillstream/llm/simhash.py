@@ -6,22 +6,25 @@ every pair within the radius collides there, for certain. Inside a table, member
 the values one flip of a dropped bit away: two fingerprints that reach the same value differ in two bits at most, and
 all pairs of the bucket within the radius reach one. That is exact, and linear in the members.
 
+Fingerprints, not ids, are what is linked, so ids that repeat with other texts do not tie these texts together.
+
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle form
-one shingle; repeated rows share a component; a null id gets a component only through others (null if there are none);
-an empty table gives no rows. Bits count as set if set in over half of the shingles, repeats included.
+one shingle; repeated rows share a component; a repeated id has a component for each of its texts; a null id gets a
+component only through others (null if there are none); an empty table gives no rows. Bits count as set if set in over
+half of the shingles, repeats included.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from rillstream.llm.common import free_name, sliced, staged, unstage
 from rillstream.llm.components import components
@@ -34,6 +37,9 @@ RADIUS = 2
 COPY_SHINGLE = 5
 BANDS = 20
 ROWS = 4
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Candidate texts (16 bytes each) up to which their digests are broadcast.
+BROADCAST_TEXTS = 200_000
 
 
 def signed(x: int) -> int:
@@ -49,170 +55,219 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return [sum(1 << bit for bit in range(64) if (own[bit] & v).bit_count() & 1) for v in range(1, top)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def word_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
+    """A hash of each word shingle in order, repeats included; fewer words make one shingle, none make none."""
     from xxhash import xxh64_intdigest as digest
 
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        h = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        h = [digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+        return [digest(joined, seed)] if words else []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
+
+
+def majority(h: list[int]) -> int:
+    """The bits set in over half of the hashes."""
     n, counts = len(h), np.zeros(64, np.int64)
+    if not n:
+        return 0
     for a, b in pairwise([*range(0, n, 200_000), n]):
         bits = np.unpackbits(np.array(h[a:b], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long), one narrow pass."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(word_hashes(words_of(text), shingle, seed))
+
+
+def shingle_set(words: list[bytes], seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of a text's five-word shingles, sorted; fewer words make one shingle, none make none.
+
+    Five words in a row are two three-word shingles that share a word, so their hashes are made of those.
+    """
+    return copy_set(words, word_hashes(words, SHINGLE, seed), seed)
+
+
+def copy_set(words: list[bytes], threes: list[int], seed: int = SEED) -> np.ndarray:
+    from xxhash import xxh64_intdigest as digest
+
+    if len(words) <= COPY_SHINGLE:
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    h = np.array(threes, np.uint64)
+    own = (h[:-2] * MULTIPLY) ^ h[2:]
+    own = (own ^ (own >> np.uint64(32))) * MULTIPLY
+    return np.unique(own ^ (own >> np.uint64(29)))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """MinHash: for each of BANDS bands a hash of ROWS minima, told apart by band."""
+    r = np.random.default_rng(SEED)
+    one, two = r.integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
+    x, y = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for a in range(0, len(shingles), 4096):
+        low = np.minimum(low, (x[a : a + 4096, None] * one + y[a : a + 4096, None] * two).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ low[k::ROWS]) * MULTIPLY
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def unit(text: Column) -> Column:
+    """Stands for a text: 16 bytes, none for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, copies: bool = False) -> DataFrame:
+    """doc_id, unit and fp (the fingerprint's 64 bits as a long), one narrow pass; copies adds the MinHash `keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fp = [signed(fingerprint(t.as_py(), shingle)) for t in batch[1]]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            fps, keys = [], []
+            for t in batch[2]:
+                ws = words_of(t.as_py())
+                h = word_hashes(ws, shingle)
+                fps.append(signed(majority(h)))
+                if copies:
+                    own = copy_set(ws, h) if shingle == SHINGLE else shingle_set(ws)
+                    keys.append(band_keys(own) if len(own) else None)
+            more = [pa.array(keys, pa.list_(pa.int64()))] if copies else []
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(fps, pa.int64()), *more], names=["doc_id", "unit", "fp", "keys"][: 3 + copies])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), unit(text).alias("unit"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, unit binary, fp long" + (", keys array<long>" if copies else ""))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between node ids that connect exactly what pairs within the radius connect.
+    """Edges (a, b) between fingerprints that connect exactly what pairs within the radius connect.
 
-    distinct: (fp, node), one row for each fingerprint. The meeting points fit a radius of 2 and no other.
+    distinct: fp, each once. The meeting points fit a radius of 2 and no other.
     """
     if radius != RADIUS:
         raise ValueError("only a radius of 2 is supported")
     masks = covering_masks(radius)
     flips = [[0, *(1 << b for b in range(64) if not m >> b & 1)] for m in masks]
-    keyed = distinct.select(
-        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("t", "key")
-    )
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
     members = keyed.join(shared, ["t", "key"], "left_semi")
     by_table = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in one]) for one in flips])
     met = (
-        members.select("t", "fp", "node", F.explode(F.element_at(by_table, F.col("t") + 1)).alias("flip"))
-        .select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+        members.select("t", "fp", F.explode(F.element_at(by_table, F.col("t") + 1)).alias("flip"))
+        .select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
         .groupBy("t", "mid")
-        .agg(F.collect_set("node").alias("nodes"))  # at most 65 fingerprints are one flip from a value
-        .where(F.size("nodes") > 1)
+        .agg(F.collect_set("fp").alias("fps"))  # at most 65 fingerprints are one flip from a value
+        .where(F.size("fps") > 1)
     )
-    return met.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")).where("a <> b").distinct()
+    return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) for every row.
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, unit, fp; groups: fp, group, component_id), staged. A group is named by its smallest fingerprint,
+    its component_id is the smallest doc_id in it.
 
     With a similarity, texts that share at least that part of their word shingles (near_copies) are linked too.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints", gather=True)
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = links(classes.where("node is not null"), radius)
+    rows = staged(fingerprints(docs, id_col, text_col, shingle, similarity is not None), "fingerprints", gather=True)
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), radius), "simhash")
     if similarity is not None:
-        same = rows.join(classes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        found = found.union(same).union(near_copies(docs, found.union(same), id_col, text_col, similarity))
-    roots = components(found, "simhash")
-    rooted = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(rooted, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str | None, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Distinct hashes of a text's word shingles, sorted; none without words."""
-    from xxhash import xxh64_intdigest as digest
+        roots = near_copies(docs, rows, roots, text_col, similarity)
+    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    named = staged(named, "named")
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rows, named.join(least, "group").select("fp", "group", "component_id")
 
-    words = (text or "").encode().lower().split()
-    return np.unique(np.array([digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(min(1, len(words)), len(words) - shingle + 1))], "<u8"))
 
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """MinHash: for each of BANDS bands a hash of ROWS minima."""
-    r = np.random.default_rng(SEED)
-    odd, add = r.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for a in range(0, len(shingles), 4096):
-        h = shingles[a : a + 4096, None] * (odd | np.uint64(1)) + add
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        low = np.minimum(low, (h ^ (h >> np.uint64(29))).min(0))
-    key = np.zeros(BANDS, np.uint64)
-    for k in range(ROWS):
-        key = (key ^ low[k::ROWS]) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable) for every row; options as for grouped."""
+    rows, groups = grouped(docs, **options)
+    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Edges (a, b) between ids whose texts have a Jaccard similarity of at least that over sets of five-word shingles.
+def near_copies(docs: DataFrame, rows: DataFrame, roots: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """(node, root) of fingerprints as in roots, joined further where texts have a Jaccard similarity of at least that
+    over their sets of five-word shingles.
 
-    Texts that share a MinHash band are compared exactly. First all with the first one of each bucket; what is then in
-    one component (known edges count) needs no more comparisons, so only pairs of different components follow: in each
-    bucket those outside its largest component with everyone. A dense cluster of any size costs about its own length.
+    Distinct texts that share a MinHash band are compared exactly. First all with the first one of each bucket; what is
+    then in one component needs no more comparisons, so only pairs of different components follow: in each bucket those
+    outside its largest component with everyone. A dense cluster of any size costs about its own length.
     """
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 256):
-            sets = [shingle_set(t.as_py()) for t in batch[1]]
-            digests = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
-            keys = [band_keys(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "digest", "keys"])
+    once = rows.where("keys is not null").groupBy("unit", "fp").agg(F.first("keys").alias("keys"))
+    keyed = staged(once.select(F.struct("unit", "fp").alias("u"), F.explode("keys").alias("key")), "bands")
+    shared = keyed.groupBy("key").agg(F.min("u").alias("first"), F.max("u").alias("last")).where("first < last").select("key", "first")
+    members = staged(keyed.join(shared, "key").distinct(), "buckets")
+    unstage(keyed)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch[1]]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    ids = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null and text is not null")
-    banded = staged(ids.mapInArrow(bands, "node long, digest long, keys array<long>").where("keys is not null"), "bands")
-    once = banded.groupBy("digest").agg(F.min("node").alias("b"), F.min("keys").alias("keys"))
-    equal = banded.select("node", "digest").join(once.select("digest", "b"), "digest").where("node <> b").select(F.col("node").alias("a"), "b")
-    keyed = once.select(F.col("b").alias("node"), F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("t", "key", "first")
-    members = staged(keyed.join(shared, ["t", "key"]).distinct(), "buckets")
+            sets = [shingle_set(words_of(t.as_py())).view(np.int64) for t in batch[1]]
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sets, pa.list_(pa.int64()))], names=["unit", "shingles"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Only the texts of candidate pairs are taken up once more, and only their sets are moved."""
+        """Edges between fingerprints of (a, b) that are alike. Only the texts of candidate pairs are taken up once
+        more, each once, and only their sets are moved."""
         pairs = staged(pairs, "pairs")
-        wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted", gather=True)
-        sets = staged(ids.join(wanted, "node", "left_semi").mapInArrow(shingles, "node long, shingles array<long>"), "shingles")
-        one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
+        wanted = staged(pairs.select("a.unit").union(pairs.select("b.unit")).distinct(), "wanted", gather=True)
+        few = wanted.count() <= BROADCAST_TEXTS
+        texts = docs.select(unit(F.col(text_col).cast("string")).alias("unit"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.join(F.broadcast(wanted) if few else wanted, "unit", "left_semi")
+        sets = staged(texts.mapInArrow(shingles, "unit binary, shingles array<long>").groupBy("unit").agg(F.first("shingles").alias("shingles")), "shingles")
+        one, two = (sets.select(F.col("unit").alias(f"u{n}"), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
         both = F.size(F.array_intersect("sa", "sb"))
-        alike = pairs.join(one, "a").join(two, "b").where(F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * similarity)
-        found = staged(alike.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select("a", "b").distinct(), "alike")
-        unstage(sets)
+        alike = pairs.join(one, F.col("a.unit") == F.col("ua")).join(two, F.col("b.unit") == F.col("ub"))
+        alike = alike.where(F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * similarity)
+        found = staged(alike.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "alike")
+        for done in (sets, wanted, pairs):
+            unstage(done)
         return found
 
-    near = equal.union(verified(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()))
-    roots = staged(components(known.union(near), "near"), "roots")
-    rooted = members.join(roots, "node", "left").select("t", "key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted, "rooted")
-    most = rooted.groupBy("t", "key", "root").count().groupBy("t", "key").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n")).where("n > 1")
-    mixed = staged(rooted.join(most.select("t", "key", "main"), ["t", "key"]), "mixed")
-    outside = mixed.where("root <> main").select("t", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    every = mixed.select("t", "key", F.col("node").alias("b"), F.col("root").alias("rb"), "main")
-    rest = outside.join(every, ["t", "key"]).where("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
-    return near.union(verified(rest))
+    near = verified(members.where("u <> first and u.fp <> first.fp").select(F.col("u").alias("a"), F.col("first").alias("b")).distinct())
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(known.union(near), "near")
+    rooted = staged(members.join(roots, F.col("u.fp") == F.col("node"), "left").select("key", "u", F.coalesce("root", F.col("u.fp")).alias("root")), "rooted")
+    unstage(members)
+    most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1")
+    mixed = staged(rooted.join(most.select("key", "main"), "key"), "mixed")
+    unstage(rooted)
+    outside = mixed.where("root <> main").select("key", F.col("u").alias("a"), F.col("root").alias("ra"))
+    every = mixed.select("key", F.col("u").alias("b"), F.col("root").alias("rb"), "main")
+    rest = outside.join(every, "key").where("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
+    more = verified(rest)
+    unstage(mixed)
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "nearer")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns kept, that stand for their group: the one with the group's smallest id, once.
 
-    Of repeated rows with that id the one with the smallest text stays. Rows without id can't be named by a group and
-    all stay.
+    Where that id repeats in its group the row with the smallest digest of its text stays; where it stands in several
+    groups, one row of each stays. Rows without id can't be named by a group and all stay. Groups are decided on slim
+    rows; texts are moved once at most, to be matched with what stays.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    doc = free_name(docs, "_doc")
-    best = staged(found.where("doc_id = component_id").select(F.col("doc_id").alias(doc)).distinct(), "representatives")
-    named = docs.join(best, docs[id_col].cast("long") == F.col(doc))
-    n = free_name(docs, "_n")
-    order = Window.partitionBy(doc).orderBy(F.col(text_col))
-    once = named.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(docs.where(docs[id_col].isNull()))
+    rows, groups = grouped(docs, id_col=id_col, text_col=text_col, **options)
+    doc, text, n = (free_name(docs, c) for c in ("_doc", "_text", "_n"))
+    each = rows.join(groups, "fp").where("doc_id = component_id").groupBy("doc_id", "group", "unit").count()
+    best = each.groupBy("doc_id", "group").agg(F.min(F.struct("unit", "count")).alias("u"))
+    best = staged(best.select(F.col("doc_id").alias(doc), F.col("u.unit").alias(text), F.col("u.count").alias(n)), "representatives")
+    own = (docs[id_col].cast("long") == F.col(doc)) & (unit(docs[text_col].cast("string")) == F.col(text))
+    kept = docs.join(best, own)
+    if not best.where(F.col(n) > 1).isEmpty():  # rows that repeat id and text
+        others = [docs[f"`{f.name}`"] for f in docs.schema.fields if f.name not in (id_col, text_col) and not isinstance(f.dataType, MapType)]
+        order = Window.partitionBy(doc, text).orderBy(F.xxhash64(F.lit(SEED), *others))
+        kept = kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    kept = kept.select(*[docs[f"`{c}`"] for c in docs.columns])
+    return kept.unionByName(docs.where(docs[id_col].isNull()))
 
 
 def fingerprint_text(col: str = "fp"):

@@ -60,10 +60,10 @@ def test_links_connect_what_brute_force_connects(spark):
             for _ in range(r.randint(1, 3)):
                 base ^= 1 << r.randrange(64)
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(fps)], "fp long, node long")
-    roots = {x.node: x.root for x in components.components(simhash.links(df)).collect()}
-    want = slow_components(range(len(fps)), [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2])
-    assert {n: roots.get(n, n) for n in range(len(fps))} == want
+    signed = [simhash.signed(f) for f in fps]
+    roots = {x.node: x.root for x in components.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    want = slow_components(signed, [(signed[i], signed[j]) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    assert {n: roots.get(n, n) for n in signed} == want
 
 
 def test_near_duplicates_with_strange_rows(spark):
@@ -82,6 +82,55 @@ def test_near_duplicates_with_strange_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
+def slow_groups(rows, similarity=None):
+    """For each (id, text) its group: a number; groups are linked texts, ids do not link."""
+    texts = sorted({t for _, t in rows}, key=lambda t: (t is not None, t))
+    fps = [slow_fingerprint(t) for t in texts]
+    sets = [slow_shingles(t) for t in texts]
+
+    def near(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= 2 or (similarity and sets[a] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+
+    root = slow_components(range(len(texts)), [p for p in combinations(range(len(texts)), 2) if near(*p)])
+    return {t: root[i] for i, t in enumerate(texts)}
+
+
+def slow_shingles(t):
+    ws = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+    return {" ".join(ws[k : k + 5]) for k in range(max(min(1, len(ws)), len(ws) - 4))}
+
+
+def test_repeated_ids_do_not_tie_texts_together(spark):
+    r = random.Random(21)
+    bases = [" ".join(r.choices([f"v{k}" for k in range(300)], k=60)) for _ in range(9)]
+    bases += [f"{b} end" for b in bases[:4]] + [None, "", "short one"]
+    rows = [(3, bases[1]), (5, bases[1]), (5, bases[0])] + [(r.choice([1, 2, 4, 6, 7, 7, 8, 9]), r.choice(bases)) for _ in range(60)]
+    rows += [(None, bases[2]), (None, "nothing like it at all"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", None, k % 3) for k, (i, t) in enumerate(rows)], DOCS).repartition(4)
+    for similarity in (None, 0.8):
+        group = slow_groups(rows, similarity)
+        least = {}
+        for i, t in rows:
+            if i is not None:
+                least[group[t]] = min(i, least.get(group[t], i))
+        got = Counter((x.doc_id, x.fp, x.component_id) for x in simhash.near_duplicates(df, similarity=similarity).collect())
+        assert got == Counter((i, simhash.signed(slow_fingerprint(t)), least.get(group[t])) for i, t in rows)
+        kept = [(x.doc_id, x.text) for x in simhash.representatives(df, similarity=similarity).collect()]
+        named = [k for k in kept if k[0] is not None]
+        assert Counter((group[t], i) for i, t in named) == Counter(least.items())  # one row of each group, of its smallest id
+        assert set(named) <= set(rows) and Counter(k for k in kept if k[0] is None) == Counter(k for k in rows if k[0] is None)
+    assert (5, bases[0]) in rows and any(x.text == bases[0] for x in simhash.representatives(df.where("doc_id in (3, 5)")).collect())
+
+
+def test_shingle_sets_tell_texts_apart_as_words_do():
+    r = random.Random(3)
+    for _ in range(60):
+        ws = [r.choice("abc").encode() for _ in range(r.randint(0, 14))]
+        assert len(simhash.shingle_set(ws)) == len({tuple(ws[k : k + 5]) for k in range(max(min(1, len(ws)), len(ws) - 4))})
+    a, b = ([f"w{k}".encode() for k in x] for x in (range(40), range(2, 42)))
+    assert len(set(simhash.shingle_set(a).tolist()) & set(simhash.shingle_set(b).tolist())) == 34
+
+
 def test_edited_copies_fall_together(spark):
     r = random.Random(12)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -117,8 +166,9 @@ def test_components_of_paths_stars_and_cliques(spark):
     r.shuffle(edges)
     df = spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "a long, b long").repartition(5)
     want = slow_components({n for e in edges for n in e}, edges)
-    assert {x.node: x.root for x in components.components(df).collect()} == {n: m for n, m in want.items() if n != m}
-    assert components.components(df.limit(0)).count() == 0
+    for alone in (0, 1 << 20):
+        assert {x.node: x.root for x in components.components(df, most_alone=alone).collect()} == {n: m for n, m in want.items() if n != m}
+        assert components.components(df.limit(0), most_alone=alone).count() == 0
 
 
 def test_fingerprints_equal_brute_force_on_the_table(spark):
