@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstream.llm.common import sliced
-from rillstream.llm.runs import CHUNK, RunMemory
+from rillstream.llm.runs import CHUNK, RunMemory, grown, spread
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -81,7 +81,7 @@ class WordIds(RunMemory):
                 yield from self.bulk(held)
                 held, size = [], 0
             if len(raw) > CHUNK:
-                yield b"".join(x for piece in cut(raw) for x in self.bulk([piece]))
+                yield b"".join(x for piece in cut(raw) for x in (self.bulk([piece]) if len(piece) <= 2 * CHUNK else self.alone([piece])))
                 continue
             held.append(raw)
             size += len(raw) + 1
@@ -99,23 +99,46 @@ class WordIds(RunMemory):
         starts, stops = edge[0::2], edge[1::2]
         if not len(starts):
             return [b""] * len(raws)
-        distinct, first, inv = np.unique(self.hashes(c, starts, stops), return_index=True, return_inverse=True)
-        at, n, found = self.look_up(distinct)
-        new = np.flatnonzero(~found)
-        if len(new):
-            if self.full(len(new)) or self.used > self.most_ids:
-                self.forget()
-                new = np.arange(len(distinct))
-            self.learn(distinct[new], [text[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-            at, n, _ = self.look_up(distinct)
-        sizes = n[inv]
+        distinct, first, inv, odd = self.distinct(c, starts, stops)
+        short = np.flatnonzero(~odd[first])  # what is kept; longer runs are odd wherever they stand
+        if self.full(len(short)) or self.used > self.most_ids:
+            self.forget()
+        own = first[short]
+        place, other = self.look_up(distinct[short], c, starts[own], stops[own])
+        new = np.flatnonzero((place < 0) & ~other)
+        place[new] = self.learn(distinct[short[new]], text, c, starts[own[new]], stops[own[new]])
+        places = np.full(len(distinct), -1, np.int32)
+        places[short] = place
+        run = np.where(odd, -1, places[inv])
+        at, sizes = self.at[np.maximum(run, 0)], np.where(run >= 0, self.n[np.maximum(run, 0)], 0)
+        rest = np.flatnonzero(run < 0)
+        if len(rest):  # their ids stand behind those that are kept, for this once
+            at[rest], sizes[rest] = self.put(self.encoded([text[a:b] for a, b in zip(starts[rest].tolist(), stops[rest].tolist(), strict=True)]))
         total = np.cumsum(sizes)
-        ids = self.pool[np.repeat(at[inv] - (total - sizes), sizes) + np.arange(total[-1])].astype("<u4").tobytes()
+        ids = self.pool[spread(at, sizes)].astype("<u4").tobytes()
         ends = np.cumsum([len(r) + 1 for r in raws])
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], ends]))] * 4
         return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
-    def learn(self, h: np.ndarray, runs: list[bytes]) -> None:
+    def learn(self, h: np.ndarray, text: bytes, c: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        at, n = self.put(self.encoded([text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]))
+        self.used += int(n.sum())
+        return self.keep(h, c, starts, stops, at, n)
+
+    def put(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs into the pool, behind those in use; where each begins and how many they are."""
+        n = np.array([len(x) for x in ids], np.int64)
+        total = int(n.sum())
+        self.pool = grown(self.pool, self.used + total)
+        self.pool[self.used : self.used + total] = np.concatenate(ids) if ids else []
+        return self.used + np.cumsum(n) - n, n
+
+    def alone(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of texts without help of the memory."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([r.decode() for r in raws], add_special_tokens=False)]
+
+    def encoded(self, runs: list[bytes]) -> list[np.ndarray]:
+        """Ids of each run."""
         plain = [k for k, w in enumerate(runs) if len(w) <= LONGEST and PLAIN.fullmatch(w)]
         out: list = [None] * len(runs)
         groups = list(batched(plain, TOGETHER))
@@ -132,13 +155,7 @@ class WordIds(RunMemory):
         rest = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(rest, self.tok.encode_batch_fast([runs[k].decode() for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
-        n = np.array([len(x) for x in out], np.int32)
-        total = int(n.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.concatenate(out) if out else []
-        self.keep(h, self.used + np.cumsum(n) - n, n)
-        self.used += total
+        return out
 
 
 def cut(raw: bytes) -> Iterator[bytes]:

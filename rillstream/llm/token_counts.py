@@ -1,8 +1,8 @@
 """Token counts with a whole-token shortcut.
 
-Before counting, every vocabulary string is put to the proof once per worker: if it is one pre-token and the library
-encodes it alone as one id, a pre-token equal to it counts 1 without any merging. Only other pre-tokens are merged, by
-the library, and distinct pieces of text are worked out once.
+Before any text is read, every vocabulary string is put to the proof once, on the driver: if it is one pre-token and the
+library encodes it alone as one id, a pre-token equal to it counts 1 without any merging. The proved strings are sent to
+the workers. Only other pre-tokens are merged, by the library, and distinct pieces of text are worked out once.
 
 Defined results: a null text is an empty one with 0 bytes and 0 tokens; special strings inside a text count one token
 each, as the library's default has it; repeated rows give repeated results; further columns are ignored.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class Counter(RunMemory):
     space meets a cut the text is counted whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
@@ -58,7 +58,7 @@ class Counter(RunMemory):
         self.pre = regex.compile(PRE_TOKEN)
         self.plain = regex.compile(PLAIN)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = self.proved()
+        self.whole = self.proved() if whole is None else whole
         super().__init__()
 
     def proved(self) -> frozenset[str]:
@@ -107,7 +107,10 @@ class Counter(RunMemory):
         held: list[int] = []
         size = 0
         for k, t in enumerate(texts):
-            if out[k] is None:
+            if out[k] is None and len(t) > CHUNK:
+                n = self.long(t.encode())
+                out[k] = n if n >= 0 else self.pretokens(t)
+            elif out[k] is None:
                 held.append(k)
                 size += len(t)
             if held and (size > CHUNK // 2 or k == len(texts) - 1):
@@ -116,8 +119,18 @@ class Counter(RunMemory):
                 held, size = [], 0
         return out
 
-    def bulk(self, raws: list[bytes]) -> list[int]:
-        """Counts of texts, below 0 for those that must be counted whole."""
+    def long(self, raw: bytes) -> int:
+        """The count of a text of any length, a stretch after the other; below 0 if it must be counted whole."""
+        total, at = 0, 0
+        while at <= len(raw):
+            end = raw.find(b" ", at + CHUNK)
+            end = len(raw) if end < 0 else end
+            total += self.bulk([raw[at:end]], continued=at > 0)[0]
+            at = end + 1
+        return total
+
+    def bulk(self, raws: list[bytes], continued: bool = False) -> list[int]:
+        """Counts of texts, below 0 for those that must be counted whole; continued: a space stands before the first."""
         ends = np.cumsum([len(r) + 1 for r in raws])
         text = b" ".join(raws) + b" "
         c = np.frombuffer(text, np.uint8)
@@ -126,32 +139,54 @@ class Counter(RunMemory):
         owner = np.searchsorted(ends, stops, side="right")
         first = np.ones(len(stops), bool)
         first[1:] = owner[1:] != owner[:-1]
+        first[0] = not continued
         counts = np.zeros(len(stops), np.int64)
         empty = starts == stops
         counts[empty & ~first] = UNSURE
         some = np.flatnonzero(~empty)
         if len(some):
-            h = self.hashes(c, starts[some], stops[some]) ^ first[some].astype(np.uint64)
-            distinct, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            values, _, found = self.look_up(distinct)
-            new = np.flatnonzero(~found)
-            if len(new):
-                if self.full(len(new)):
-                    self.forget()
-                own = some[at[new]]
-                pieces = [text[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist(), strict=True)]
-                sure = [k for k, p in enumerate(pieces) if not self.unsure(p)]
-                found = np.full(len(new), UNSURE)
-                found[sure] = self.work_out([("" if first[own[k]] else " ") + pieces[k].decode() for k in sure])
-                values[new] = found
-                self.keep(distinct[new], values[new], np.zeros(len(new), np.int32))
-            counts[some] = values[inv]
+            begin, end, tags = starts[some], stops[some], first[some].astype(np.int64)
+            distinct, at, inv, odd = self.distinct(c, begin, end, tags)
+            short = np.flatnonzero(~odd[at])  # what is kept; longer pieces are odd wherever they stand
+            if self.full(len(short)):
+                self.forget()
+            own = at[short]
+            place, other = self.look_up(distinct[short], c, begin[own], end[own], tags[own])
+            new = np.flatnonzero((place < 0) & ~other)
+            fresh = own[new]
+            place[new] = self.keep(distinct[short[new]], c, begin[fresh], end[fresh], np.zeros(len(new), np.int64), self.piece_counts(text, begin[fresh], end[fresh], tags[fresh]), tags[fresh])
+            places = np.full(len(distinct), -1, np.int32)
+            places[short] = place
+            piece = np.where(odd, -1, places[inv])
+            found = np.where(piece >= 0, self.n[np.maximum(piece, 0)], 0)
+            rest = np.flatnonzero(piece < 0)
+            found[rest] = self.piece_counts(text, begin[rest], end[rest], tags[rest])
+            counts[some] = found
         return np.bincount(owner, counts, len(raws)).astype(np.int64).tolist() if len(owner) else [0] * len(raws)
 
+    def piece_counts(self, text: bytes, starts: np.ndarray, stops: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Tokens of pieces, with the space before all but a text's first one; UNSURE where white space meets the cut."""
+        pieces = [text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        sure = [k for k, p in enumerate(pieces) if not self.unsure(p)]
+        found = np.full(len(pieces), UNSURE)
+        found[sure] = self.work_out([("" if first[k] else " ") + pieces[k].decode() for k in sure])
+        return found
+
 
 @functools.lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def proved_words(path: str) -> frozenset[str]:
+    """The proof, made once in a process: on the driver, which hands the result to all workers."""
+    return Counter(path).whole
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: Callable[[], frozenset[str]]) -> Counter:
+    """One counter a worker and vocabulary."""
+    if path not in _counters:
+        _counters[path] = Counter(path, whole())
+    return _counters[path]
 
 
 def count_tokens(
@@ -163,9 +198,10 @@ def count_tokens(
     limit: int = LIMIT,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; one narrow pass."""
+    held = docs.sparkSession.sparkContext.broadcast(proved_words(tokenizer_path(tokenizer, TOKENIZER)))  # strings of the vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path(tokenizer, TOKENIZER))
+        count = counter(tokenizer_path(tokenizer, TOKENIZER), lambda: held.value)
         for batch in sliced(batches):
             texts = [t.as_py() or "" for t in batch[1]]
             sizes = [len(t.encode()) for t in texts]

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rillstream.llm import packing, token_counts
+from rillstream.llm import packing, runs, token_counts
 
 SCHEMA = "doc_id long, text string, sequence_id string, length string, Doc_ID2 int"
 TEXTS = [None, "", " ", "Hello, world. Ünïcode naïve café's", "a  b\n \nc", "x<|endoftext|>y <|startoftext|>", "日本語 テスト 123", "trail \n", "the cat " * 3000, "z" * 4000, "don't  I'LL\t\tgo \x1c a\x85b", "ßİǅ ﬁ", "same", "same"]
@@ -72,7 +72,7 @@ def test_memory_of_pieces_is_bounded():
     count.room = 10
     texts = [" ".join(f"w{i}" for i in range(k, k + 7)) for k in range(50)]
     for t in texts:
-        assert count.of([t]) == [count.merged(t)] and len(count.most.h) + len(count.recent.h) <= 10
+        assert count.of([t]) == [count.merged(t)] and count.kept <= 10 and len(count.most.h) + len(count.recent.h) == count.kept
     assert count.of([]) == [] and count.of(["", "a", ""]) == [0, 1, 0]
 
 
@@ -100,3 +100,46 @@ def test_chunks_and_forgetting_do_not_show(monkeypatch):
     small = packing.WordIds(path)
     small.room = 50
     assert list(small.of(texts)) == want and list(small.of(texts)) == want
+
+
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo 2^64 are equal, whatever the odd base, from 1,024 letters on."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_runs_of_equal_hash_are_told_apart(n):
+    one, two = (f"x{w}y" for w in thue_morse(n))
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    c = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    h = words.hashes(c, np.array([0, n + 3]), np.array([n + 2, 2 * n + 5]))
+    assert h[0] == h[1]
+    count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = reference("byte_bpe_50k.json")
+    for texts in ([one, two], [f"a {two} {one} b", two], [one], [two], [f"{two} {one}"]):
+        want = [np.array(e.ids, "<u4").tobytes() for e in words.tok.encode_batch(texts, add_special_tokens=False)]
+        assert list(words.of(texts)) == want
+        assert count.of(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_runs_are_told_apart_when_every_hash_is_equal(monkeypatch):
+    monkeypatch.setattr(runs.RunMemory, "hashes", lambda self, c, starts, stops: np.ones(len(starts), np.uint64))
+    texts = strange(5, 300) + ["same words same", "same"]
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert list(words.of(texts)) == [np.array(e.ids, "<u4").tobytes() for e in words.tok.encode_batch(texts, add_special_tokens=False)]
+    count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    for t, n in zip(texts, count.of(texts), strict=True):
+        assert n == count.merged(t), t
+
+
+def test_texts_longer_than_a_chunk(monkeypatch):
+    tok = reference("byte_bpe_50k.json")
+    texts = ["the cat, " * 500 + "end", "x" * 3000, "a  b " * 300, "word " * 200, "é" * 900 + " z"]
+    monkeypatch.setattr(token_counts, "CHUNK", 200)
+    count = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert count.of(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    want = [np.array(words.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "CHUNK", 200)
+    assert list(words.of(texts)) == want
