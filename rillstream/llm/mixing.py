@@ -8,8 +8,11 @@ A document is taken floor(target / size) times, and once more if it comes, in th
 point where the source's fraction is reached. That point is found from word sums of 4,096 hash ranges for each source
 and then inside the one range that holds it, so that no task sorts a source.
 
-Defined results: null text has size 0; a null source is a source of its own, last; repeated rows are drawn alike;
-empty documents are taken 0 words; an empty table gives no rows; further columns are kept by mixed_documents.
+The hash is of source, id and text, and of a number where rows repeat all three, so that every row is drawn by itself.
+
+Defined results: null text has size 0; a null source is a source of its own, last; repeated rows, rows of one id and
+rows without id are drawn each for itself (which of equal rows is drawn does not matter, how many are does not hang on
+partitions); empty documents are taken 0 words; an empty table gives no rows; further columns are kept by mixed_documents.
 """
 
 from __future__ import annotations
@@ -27,16 +30,43 @@ RANGES = 12
 HASH_BITS = 60
 #: Sources up to which their table is broadcast (a row takes less than 200 bytes); more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Keys of repeated rows (16 bytes each) up to which they are broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def n_words(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def draw(id_col: str | Column, seed: int = SEED) -> Column:
-    """The seeded place of a document in its source's order: 60 bits."""
-    doc = F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), doc)), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_key(id_col: Column, source_col: Column, text_col: Column, seed: int = SEED) -> Column:
+    """16 bytes for source, id and text of a row."""
+    source = F.coalesce(F.concat(F.lit("s"), source_col.cast("string")), F.lit("n"))
+    doc, text = (F.coalesce(c, F.lit("")) for c in (id_col.cast("string"), F.md5(text_col.cast("string"))))
+    return F.unhex(F.md5(F.concat_ws("/", F.lit(str(seed)), source, doc, text)))
+
+
+def draw(key: Column, twin: Column) -> Column:
+    """The seeded place of a row in its source's order: 60 bits."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lower(F.hex(key)), twin.cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def with_draw(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their place. Rows of equal key are numbered; only these are moved, and of one key a task gets no more
+    than a partition of rows holds."""
+    repeated = staged(rows.groupBy(key).count().where("count > 1").select(key), "repeated")
+    n = repeated.count()
+    if not n:
+        return rows.withColumn(name, draw(F.col(key), F.lit(0)))
+    small = F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated
+    part, at, start = (free_name(rows, c) for c in ("_mix_part", "_mix_at", "_mix_start"))
+    again = rows.join(small, key, "left_semi").withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()})
+    again = staged(again, "repeated-rows")
+    along = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = again.groupBy(key, part).count().select(key, part, F.coalesce(F.sum("count").over(along), F.lit(0)).alias(start))
+    inside = again.withColumn(at, F.row_number().over(Window.partitionBy(key, part).orderBy(at)) - 1)
+    numbered = inside.join(starts, [key, part]).withColumn(name, draw(F.col(key), F.col(start) + F.col(at)))
+    once = rows.join(small, key, "left_anti").withColumn(name, draw(F.col(key), F.lit(0)))
+    return once.unionByName(numbered.drop(part, at, start))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -65,14 +95,15 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 
     A document is taken `whole` times, and once more if u <= cut.
     """
-    rows = staged(
+    slim = staged(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-            n_words(text_col).alias("size"), draw(id_col, seed).alias("u"),
+            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"),
+            row_key(F.col(id_col), F.col(source_col), F.col(text_col), seed).alias("key"),
         ),
         "sized",
         gather=True,
     )
+    rows = staged(with_draw(slim, "key", "u").drop("key"), "drawn")
     ranges = staged(
         rows.groupBy("source", F.shiftright("u", HASH_BITS - RANGES).alias("range")).agg(F.sum("size").alias("words")), "ranges"
     )
@@ -124,22 +155,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mixture itself: every document as many times as it is taken, with the columns of docs."""
-    _, sources = plan(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
+    _, sources = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     small = sources.count() <= BROADCAST_SOURCES
-    of, whole, cut, n = (free_name(docs, c) for c in ("_mix_of", "_mix_whole", "_mix_cut", "_mix_n"))
+    key, u, of, whole, cut, n = (free_name(docs, c) for c in ("_mix_key", "_mix_u", "_mix_of", "_mix_whole", "_mix_cut", "_mix_n"))
+    drawn = with_draw(docs.withColumn(key, row_key(docs[id_col], docs[source_col], docs[text_col], seed)), key, u)
     other = sources.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut))
-    joined = docs.join(F.broadcast(other) if small else other, docs[source_col].cast("string").eqNullSafe(F.col(of)))
-    repeats = F.col(whole) + F.when(draw(docs[id_col], seed) <= F.col(cut), 1).otherwise(0)
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats))).alias(n)).drop(n)
+    joined = drawn.join(F.broadcast(other) if small else other, drawn[source_col].cast("string").eqNullSafe(F.col(of)))
+    repeats = F.col(whole) + F.when(F.col(u) <= F.col(cut), 1).otherwise(0)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats))).alias(n)).drop(n)
 
 
 ORACLE_SQL = r"""
-with d as (
+with e as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         cast('0x' || substr(md5('17/' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as u
+         md5('17/' || coalesce('s' || source, 'n') || '/' || coalesce(cast(doc_id as varchar), '') || '/' || coalesce(md5(text), '')) as key
   from documents),
+d as (select *, cast('0x' || substr(md5(key || '/' || (row_number() over (partition by key) - 1)), 1, 15) as bigint) as u from e),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select source, source_size, source_size * 3 as cap, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from s),
 f as (select *, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,

@@ -233,6 +233,22 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_without_id_are_drawn_each_for_itself(spark):
+    rows = [(None, f"word{k} two three", "en", "a", 0) for k in range(100)] + [(7, "same old words", "en", "b", 0)] * 90 + [(k, "x y z", "en", "c", 0) for k in range(400)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("_mix_u", F.lit("clash")).withColumn("_mix_key", F.lit(1)).repartition(5)
+    by, repeats = {}, {}
+    for x in mixing.mix(df).collect():
+        by.setdefault(x.source_size, [x.target, 0])[1] += x.taken
+        repeats.setdefault(x.source_size, Counter())[x.repeats] += 1
+    assert all(abs(taken - target) <= 3 for target, taken in by.values()), by
+    assert any(len(c) == 2 for c in repeats.values())
+    assert Counter((x.source_size, x.repeats) for x in mixing.mix(df.repartition(2)).collect()) == Counter((s, r) for s, c in repeats.items() for r in c.elements())
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    names = {300: "a", 270: "b", 1200: "c"}
+    assert Counter(x.source for x in mixed.collect()) == Counter({names[s]: sum(r * n for r, n in c.items()) for s, c in repeats.items()})
+
+
 # --- lines
 
 def slow_lines(rows, ratio, least):
