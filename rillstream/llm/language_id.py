@@ -5,10 +5,11 @@ the AND over an n-gram's slots is the set of all languages that contain it. A te
 the hits that the filter's own fill would give by chance, decides.
 
 Fitting counts n-grams on the executors over a bounded sample of labelled texts (SAMPLE documents for each language,
-drawn by hash) and keeps the most frequent GRAMS of each language; the driver gets no more than GRAMS numbers for each.
+drawn by hash) and keeps the most frequent GRAMS of each language, fewer where they would be more than MODEL_GRAMS in
+all; the driver gets no more than these. Every language that a text is labelled with is learned: where there are more
+than 64, a slot is several words wide.
 
 Defined results: a null text or one without letters is `und` with score 0; ties go to the language first by code point;
-at most MAX_LANGUAGES languages are learned, the commonest;
 letters of which no n-gram is known get the commonest language with score 0; without any labelled text all is `und`;
 repeated rows get repeated results; further columns are ignored.
 """
@@ -36,7 +37,8 @@ GRAMS = 40_000
 #: n-grams come from quoted foreign passages.
 FOREIGN = 0.1
 SLOT_BITS = 20
-MAX_LANGUAGES = 63
+#: N-grams kept of all languages together, about.
+MODEL_GRAMS = 6_000_000
 #: Characters worked on at once.
 CHUNK = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +100,7 @@ def per_text(texts: list[str]) -> Iterator[tuple[int, int, list[np.ndarray], lis
 
 @dataclass
 class Filters:
-    """slots[i] has bit l set if an n-gram of language l was put into slot i."""
+    """Bit l % width of slots[l // width, i] is set if an n-gram of language l was put into slot i; width: a word's bits."""
 
     languages: list[str]
     commonest: str
@@ -107,13 +109,12 @@ class Filters:
     @staticmethod
     def of(by_language: dict[str, np.ndarray], commonest: str) -> Filters:
         names = sorted(by_language)
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"at most {MAX_LANGUAGES} languages")
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(names))
-        slots = np.zeros(1 << SLOT_BITS, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.dtype(t).itemsize * 8 >= len(names)), np.uint64)
+        width = np.dtype(kind).itemsize * 8
+        slots = np.zeros((max(1, -(-len(names) // width)), 1 << SLOT_BITS), kind)
         for bit, name in enumerate(names):
             for i in Filters.places(by_language[name]):
-                slots[i] |= kind(1 << bit)
+                slots[bit // width, i] |= kind(1 << bit % width)
         return Filters(names, commonest, slots)
 
     @staticmethod
@@ -121,26 +122,31 @@ class Filters:
         return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
+        """The languages of each n-gram, a row for each word of the slots."""
         i, j = self.places(h)
-        return self.slots[i] & self.slots[j]
+        return self.slots[:, i] & self.slots[:, j]
 
+    def bit(self, masks: np.ndarray, language: int) -> np.ndarray:
+        width, kind = masks.dtype.itemsize * 8, masks.dtype.type
+        return (masks[language // width] >> kind(language % width)) & kind(1)
+
+    @functools.cached_property
     def by_chance(self) -> np.ndarray:
         """For each language the chance that an n-gram in no language's list seems to be in its list."""
-        return np.array([((self.slots >> self.slots.dtype.type(b)) & 1).mean() ** 2 for b in range(len(self.languages))])
+        return np.array([self.bit(self.slots, b).mean() ** 2 for b in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        k, chance = len(self.languages), self.by_chance()
+        k, chance = len(self.languages), self.by_chance
         counts = np.zeros((len(texts), k))
         total = np.zeros(len(texts))
-        one = self.slots.dtype.type(1)
         for a, b, hashes, bounds in per_text([t or "" for t in texts]):
             for h, at in zip(hashes, bounds, strict=True):
                 m = self.masks(h)
                 total[a:b] += np.diff(at)
                 for bit in range(k):
-                    c = np.concatenate([[0], np.cumsum((m >> self.slots.dtype.type(bit)) & one, dtype=np.int64)])
+                    c = np.concatenate([[0], np.cumsum(self.bit(m, bit), dtype=np.int64)])
                     counts[a:b, bit] += np.diff(c[at])
         right = np.maximum(0, (counts - total[:, None] * chance) / (1 - np.minimum(chance, 0.999)))
         best = right.argmax(1)
@@ -158,11 +164,12 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Filters from rows whose text and language are not null."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     by_lang = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang")
-    sizes = {r[0]: r[1] for r in by_lang.limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in by_lang.collect()}  # a row for each language
     if not sizes:
-        return Filters([], UNKNOWN, np.zeros(1 << SLOT_BITS, np.uint8))
-    rows = rows.where(F.col(lang_col).cast("string").isin(*sizes))
-    rate = F.coalesce(*[F.when(F.col(lang_col).cast("string") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(sizes.items())])
+        return Filters.of({}, UNKNOWN)
+    grams_kept = max(1, min(grams_kept, MODEL_GRAMS // len(sizes)))
+    rates = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, sample / n))])
+    rate = F.element_at(rates, F.col(lang_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,16 +184,16 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counts = sampled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= grams_kept).select("lang", "gram", "n").toArrow()
-    of = np.array(top["lang"].to_pylist(), object)
+    coded = top["lang"].combine_chunks().dictionary_encode() if len(top) else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     h, n = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(float)
-    share = np.zeros(len(n))
-    for lang in sizes:
-        share[of == lang] = n[of == lang] / max(1.0, n[of == lang].sum())
+    share = n / np.maximum(1.0, np.bincount(of, n, len(names)))[of] if len(n) else n
     _, inv = np.unique(h, return_inverse=True)
     most = np.zeros(inv.max() + 1 if len(inv) else 0)
     np.maximum.at(most, inv, share)
     own = share >= FOREIGN * most[inv]
-    kept = {lang: h[own & (of == lang)] for lang in sizes}
+    kept = {lang: np.zeros(0, np.uint64) for lang in sizes} | {lang: h[own & (of == k)] for k, lang in enumerate(names)}
     return Filters.of(kept, max(sorted(sizes), key=lambda k: sizes[k]))
 
 

@@ -82,6 +82,39 @@ def test_filters_without_false_negatives():
     assert f.predict(many)[0] == [f.predict([t])[0][0] for t in many]  # texts do not touch each other
 
 
+def slow_grams(text):
+    c = " " + "".join(x if x.isalpha() else " " for x in text.lower())
+    c = " ".join(c.split())
+    c = f" {c} " if c else " "
+    return [c[k : k + n] for n in (3, 4) for k in range(len(c) - n + 1) if " " not in c[k + 1 : k + n - 1]]
+
+
+def test_popcounts_equal_sets_of_strings():
+    r = random.Random(7)
+    np = toxicity.np
+    vocabularies = {f"l{k:02d}": ["".join(r.choices("abcdefghij", k=r.randint(1, 6))) for _ in range(40)] for k in range(9)}
+    learned = {k: " ".join(v) for k, v in vocabularies.items()}
+    sets = {k: set(slow_grams(t)) for k, t in learned.items()}
+    f = language_id.Filters.of({k: np.concatenate([h for _, _, hs, _ in language_id.per_text([t]) for h in hs]) for k, t in learned.items()}, "l00")
+    texts = [" ".join(r.choices(vocabularies[r.choice(list(vocabularies))] + vocabularies["l03"], k=r.randint(1, 30))) + r.choice(["", " 12!", "É"]) for _ in range(150)]
+    names, scores = f.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        grams = slow_grams(t)
+        hits = {k: sum(g in own for g in grams) for k, own in sets.items()}
+        assert hits[name] == max(hits.values()) and abs(score - hits[name] / len(grams)) < 0.01, t
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    r = random.Random(8)
+    names = [f"x{k:03d}" for k in range(140)]
+    words = {n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30)] for n in names}
+    rows = [(i, " ".join(r.choices(words[n], k=25)), n, "", "") for i, n in enumerate(names * 3)]
+    f = language_id.fit(spark.createDataFrame(rows[:280], SCHEMA))
+    assert f.languages == names and f.slots.shape[0] == 3
+    found = f.predict([t for _, t, _, _, _ in rows[280:]])
+    assert found[0] == [n for _, _, n, _, _ in rows[280:]] and min(found[1]) > 0.5
+
+
 def test_languages_with_strange_rows(spark):
     rows = [(i, "the cat sat on the mat again", "en", "", "") for i in range(5)] + [(9, "der hund sass auf der matte", "de", "", ""), (None, None, None, "", ""), (11, "", "en", "", ""), (12, "42 !", "en", "", ""), (13, "the cat " * 50_000, None, "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
