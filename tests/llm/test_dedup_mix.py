@@ -275,6 +275,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), site_col="source").count() == 0
 
 
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(r.choice(["big"] * 6 + ["b", None]), "\n".join(r.choice(["menu", "foot", f"own {k}"]) for _ in range(4))) for k in range(300)]
+    df = spark.createDataFrame([(i, s, t, 1) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string, _line_salt int")
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "SALT_PAGES", 40)
+    got = line_dedup.drop_boilerplate(df, site_col="source")
+    assert got.columns == df.columns and [x.text for x in got.orderBy("doc_id").collect()] == slow_lines(rows, 0.05, 5)
+
+
 def test_line_dedup_is_native(spark):
     df = spark.createDataFrame([("a", "x\ny")], "source string, text string")
     plan = line_dedup.drop_boilerplate(df, site_col="source")._jdf.queryExecution().toString()
