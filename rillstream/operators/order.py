@@ -1,19 +1,23 @@
 """Operators on ordered record streams. Row order is data: every operator takes it as columns.
 
 A stream is a DataFrame with a position column; several streams are told apart by STREAM, their number.
+
+Where Python is needed it gets Arrow batches and reads the partition values and keys only; rows pass through untouched.
+A null key comes before all others and NaN after them, and each equals itself; a null partition value is one of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillstream.functions.names import free_names
 from rillstream.operators.ranks import with_previous, with_rank
 
 STREAM = "stream_idx"
@@ -46,14 +50,15 @@ def merge_ranked(streams: Sequence[DataFrame], keys: list[str], position: str, n
 
 def dedup_adjacent(df: DataFrame, keys: list[str], position: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Drops rows whose keys equal those of the row before; keys with nulls equal nothing. The first of a run stays."""
+    before = free_names(df.columns, *[f"__p_{k}" for k in keys])
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(position)
-        prev = df.withColumns({f"__p_{k}": F.lag(k).over(w) for k in keys})
+        prev = df.withColumns({p: F.lag(k).over(w) for k, p in zip(keys, before, strict=True)})
     else:
-        prev = with_previous(df, [F.col(position)], {f"__p_{k}": F.col(k) for k in keys}).drop("__first")
+        prev = with_previous(df, [F.col(position)], {p: F.col(k) for k, p in zip(keys, before, strict=True)})
     same = F.lit(True)
-    for k in keys:
-        same = same & F.coalesce(F.col(k) == F.col(f"__p_{k}"), F.lit(False))
+    for k, p in zip(keys, before, strict=True):
+        same = same & F.coalesce(F.col(k) == F.col(p), F.lit(False))
     return prev.where(~same).select(*df.columns)
 
 
@@ -63,8 +68,9 @@ def sort_last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     One shuffle by key with map-side aggregation, so a hot key costs one row for each task; then the sort.
     """
     rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(position)).alias("__row"))
-    return last.select(*[F.col(k) if k in keys else F.col(f"__row.{k}").alias(k) for k in df.columns]).orderBy(*keys)
+    row = free_names(df.columns, "__row")[0]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(position)).alias(row))
+    return last.select(*[F.col(k) if k in keys else F.col(f"{row}.{k}").alias(k) for k in df.columns]).orderBy(*keys)
 
 
 def bounded_sort(df: DataFrame, keys: list[str], position: str, lookahead: int, partition_by: Sequence[str], name: str = "emitted") -> DataFrame:
@@ -75,77 +81,176 @@ def bounded_sort(df: DataFrame, keys: list[str], position: str, lookahead: int,
     """
     if lookahead < 1:
         raise ValueError("lookahead must be at least 1")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    cols, parts = df.columns, list(partition_by)
+    return _buffered(df, keys, position, partition_by, name, lambda: Buffer(lookahead))
+
+
+def cascaded_sort(df: DataFrame, keys: list[str], position: str, size: int, partition_by: Sequence[str], name: str = "emitted") -> DataFrame:
+    """Sort buffers of `size` rows behind each other, up to BUCKETS for each partition value: a row that comes too late
+    for a full buffer - its key is below all that are in it - goes on to the next one; the last takes any row. So rows
+    that are late once and again do not break the order of those before them. `name` numbers the emitted rows."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    return _buffered(df, keys, position, partition_by, name, lambda: Cascade(size))
+
+
+#: Buffers of a cascade (fixed value: it decides which rows leave when).
+BUCKETS = 7
+
+
+class Buffer:
+    """Rows by key; a full buffer lets its smallest key go, of equal keys the later row stays. Rows are numbers."""
+
+    def __init__(self, size: int):
+        self.size, self.heap, self.held = size, [], {}
+
+    def pop(self) -> int:
+        return self.held.pop(heapq.heappop(self.heap))
+
+    def put(self, key: tuple, row: int) -> Iterator[int]:
+        if key not in self.held:
+            if len(self.heap) >= self.size:
+                yield self.pop()
+            heapq.heappush(self.heap, key)
+        self.held[key] = row
+
+    def flush(self) -> Iterator[int]:
+        while self.heap:
+            yield self.pop()
+
+    def rows(self) -> list[int]:
+        return list(self.held.values())
+
+    def renumber(self, new: dict[int, int]) -> None:
+        self.held = {k: new[r] for k, r in self.held.items()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, heap, held, n = None, [], {}, 0
 
-        def pop() -> tuple:
-            nonlocal n
-            row = held.pop(heapq.heappop(heap))
-            n += 1
-            return (*row, n - 1)
+class Cascade:
+    def __init__(self, size: int):
+        self.size, self.buffers = size, []
 
-        for frame in frames:
-            out = []
-            for row, part, key in zip(frame.itertuples(index=False, name=None), _tuples(frame, parts), _tuples(frame, keys), strict=True):
+    def put(self, key: tuple, row: int) -> Iterator[int]:
+        for k, b in enumerate(self.buffers):
+            filling = len(b.heap) < self.size
+            if filling or key >= b.heap[0] or k == BUCKETS - 1:
+                if key not in b.held:
+                    heapq.heappush(b.heap, key)
+                b.held[key] = row
+                if not filling:
+                    yield b.pop()
+                return
+        self.buffers.append(Buffer(self.size))
+        yield from self.buffers[-1].put(key, row)
+
+    def flush(self) -> Iterator[int]:
+        for b in self.buffers:
+            yield from b.flush()
+        self.buffers = []
+
+    def rows(self) -> list[int]:
+        return [r for b in self.buffers for r in b.rows()]
+
+    def renumber(self, new: dict[int, int]) -> None:
+        for b in self.buffers:
+            b.renumber(new)
+
+
+def _buffered(df: DataFrame, keys: list[str], position: str, partition_by: Sequence[str], name: str, empty: Callable) -> DataFrame:
+    """Rows of each partition value through a buffer in position order; a task holds what is in the buffer."""
+    parts, kind = list(partition_by), added(df, name, T.LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, buffer, n = None, empty(), 0
+        rows: pa.Table | None = None
+        for batch in batches:
+            start = 0 if rows is None else len(rows)
+            more = pa.Table.from_batches([batch])
+            rows = more if rows is None else pa.concat_tables([rows, more])
+            out: list[int] = []
+            numbers: list[int] = []
+            for k, (part, key) in enumerate(zip(comparable(batch, parts), comparable(batch, keys), strict=True)):
                 if part != now:
-                    while heap:
-                        out.append(pop())
+                    left = list(buffer.flush())
+                    out += left
+                    numbers += range(n, n + len(left))
                     now, n = part, 0
-                if key not in held:
-                    if len(heap) >= lookahead:
-                        out.append(pop())
-                    heapq.heappush(heap, key)
-                held[key] = row
-            yield pd.DataFrame(out, columns=[*cols, name])
-        yield pd.DataFrame([pop() for _ in range(len(heap))], columns=[*cols, name])
+                for r in buffer.put(key, start + k):
+                    out.append(r)
+                    numbers.append(n)
+                    n += 1
+            yield from numbered(rows, out, numbers, name)
+            live = buffer.rows()
+            if len(rows) > 2 * len(live) + len(batch):  # let go of rows that went out
+                rows = rows.take(pa.array(live, pa.int64())).combine_chunks()
+                buffer.renumber({r: i for i, r in enumerate(live)})
+        if rows is not None:
+            left = list(buffer.flush())
+            yield from numbered(rows, left, list(range(n, n + len(left))), name)
 
-    return _in_order(df, parts, position).mapInPandas(run, schema)
+    return _in_order(df, parts, position).mapInArrow(run, kind)
 
 
-def _tuples(frame: pd.DataFrame, cols: Sequence[str]) -> list[tuple]:
-    return list(frame[list(cols)].itertuples(index=False, name=None)) if cols else [()] * len(frame)
+def comparable(batch: pa.RecordBatch, cols: Sequence[str]) -> list[tuple]:
+    """For each row a tuple of its values that can be compared: null first, NaN last, each equal to itself."""
+    lists = []
+    for c in cols:
+        col = batch.column(batch.schema.get_field_index(c))
+        lists.append([(0,) if v is None else (1, v) if v == v else (2,) for v in col.to_pylist()])
+    return list(zip(*lists, strict=True)) if lists else [()] * batch.num_rows
+
+
+def numbered(rows: pa.Table, at: list[int], numbers: list[int], name: str) -> Iterator[pa.RecordBatch]:
+    if at:
+        out = rows.take(pa.array(at, pa.int64()))
+        yield from out.append_column(name, pa.array(numbers, pa.int64())).combine_chunks().to_batches()
+
+
+def added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of df and a column more; its name must be free."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already")
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def _in_order(df: DataFrame, parts: Sequence[str], position: str) -> DataFrame:
     """Rows of a partition value together and in position order."""
-    dealt = df.repartition(*parts) if parts else df.coalesce(1)
+    dealt = df.repartition(*parts) if parts else df.repartition(1)  # not coalesce: what makes the rows stays parallel
     return dealt.sortWithinPartitions(*parts, position)
 
 
-def cluster_runs(df: DataFrame, key: str, position: str, partition_by: Sequence[str], name: str = "cluster_id", buffer_size: int = 0) -> DataFrame:
+def cluster_runs(df: DataFrame, key: str, position: str, partition_by: Sequence[str], name: str = "cluster_id", buffer_size: int = 0, cascade: bool = False) -> DataFrame:
     """Splits each partition value's rows into sorted runs, first fit: a row goes to the first run whose last key is not
     above its own, or opens a run. The runs' last keys fall from run to run, so that run is found by bisection.
 
     Rows stream through in position order; a task holds the last keys of the runs of one partition value. Without
     partition_by all rows are one sequence, as for the runs of an external sort. buffer_size
-    puts a bounded sort before, which makes fewer runs (and drops the older of equal keys that meet in the buffer).
+    puts a bounded sort before, which makes fewer runs (and drops the older of equal keys that meet in the buffer);
+    cascade makes it several buffers behind each other.
     """
     if buffer_size:
-        df = bounded_sort(df, [key], position, buffer_size, partition_by, "__emitted")
-        return cluster_runs(df, key, "__emitted", partition_by, name).drop("__emitted")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
-    parts = list(partition_by)
+        emitted = free_names([*df.columns, name], "__emitted")[0]
+        df = (cascaded_sort if cascade else bounded_sort)(df, [key], position, buffer_size, partition_by, emitted)
+        return cluster_runs(df, key, emitted, partition_by, name).drop(emitted)
+    parts, kind = list(partition_by), added(df, name, T.IntegerType())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tails = None, []
-        for frame in frames:
+        for batch in batches:
             ids = []
-            for part, value in zip(_tuples(frame, parts), frame[key], strict=True):
+            for part, value in zip(comparable(batch, parts), comparable(batch, [key]), strict=True):
                 if part != now:
                     now, tails = part, []
-                k = bisect_right(tails, _Down(value))
-                k -= k > 0 and not tails[k - 1].value > value
-                if k == len(tails):
-                    tails.append(_Down(value))
-                else:
-                    tails[k] = _Down(value)
-                ids.append(k)
-            yield frame.assign(**{name: pd.Series(ids, index=frame.index, dtype="int32")})
+                ids.append(first_fit(tails, value))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*batch.schema.names, name])
+
+    return _in_order(df, parts, position).mapInArrow(run, kind)
+
 
-    return _in_order(df, parts, position).mapInPandas(run, schema)
+def first_fit(tails: list[_Down], value) -> int:
+    """The run that takes the value, whose last value it becomes."""
+    k = bisect_right(tails, _Down(value))
+    k -= k > 0 and not tails[k - 1].value > value
+    tails[k : k + 1] = [_Down(value)]
+    return k
 
 
 class _Down:
@@ -171,8 +276,9 @@ class OrderedSet:
     def __init__(self, df: DataFrame, key: str, position: str):
         self.key, self.position = key, position
         rest = [c for c in df.columns if c != key]
-        last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(position)).alias("__row"))
-        self.df = last.select(*[F.col(c) if c == key else F.col(f"__row.{c}").alias(c) for c in df.columns])
+        row = free_names(df.columns, "__row")[0]
+        last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(position)).alias(row))
+        self.df = last.select(*[F.col(c) if c == key else F.col(f"{row}.{c}").alias(c) for c in df.columns])
 
     def insert(self, rows: DataFrame) -> OrderedSet:
         return OrderedSet(self.df.unionByName(rows), self.key, self.position)
@@ -203,8 +309,9 @@ class OrderedSet:
         return self._of(self.df)
 
     def _without(self, end: Column) -> OrderedSet:
-        one = self.df.agg(end.alias("__end"))
-        return self._of(self.df.join(F.broadcast(one), F.col(self.key) == F.col("__end"), "left_anti"))
+        last = free_names(self.df.columns, "__end")[0]
+        one = self.df.agg(end.alias(last))  # one row
+        return self._of(self.df.join(F.broadcast(one), F.col(self.key) == F.col(last), "left_anti"))
 
     def _of(self, df: DataFrame) -> OrderedSet:
         out = object.__new__(OrderedSet)

@@ -9,47 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstream.functions.names import free_names
 from rillstream.plans.scratch import staged
 
-PID, AT = "__pid", "__at"
-
-
-def _chunks(df: DataFrame, order: list[Column]) -> DataFrame:
+def chunks(df: DataFrame, order: list[Column], pid: str, at: str) -> DataFrame:
     """df in range partitions with the partition's number and the row's place in it; staged, so both stay put."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return staged(dealt.select("*", F.spark_partition_id().alias(PID), place.alias(AT)), "ranges")
+    return staged(dealt.select("*", F.spark_partition_id().alias(pid), place.alias(at)), "ranges")
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with a gapless rank from 1 in the order; the order must be total for reruns to agree."""
-    chunks = _chunks(df, order)
-    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    sizes = chunks.groupBy(PID).agg(F.count("*").alias("__n"))
-    starts = sizes.select(PID, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    ranked = chunks.join(F.broadcast(starts), PID)
-    return ranked.withColumn(name, (F.col("__start") + F.col(AT) + 1).cast("long")).drop(PID, AT, "__start")
-
-
-def with_previous(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
-    """df with columns that hold the given values of the row before (null in the first row) and __first."""
-    chunks = _chunks(df.select("*", F.struct(*[c.alias(n) for n, c in values.items()]).alias("__own")), order)
-    last = chunks.groupBy(PID).agg(F.max_by("__own", AT).alias("__last"))
-    by_pid = Window.orderBy(PID)
-    carried = last.select(PID, F.lag("__last").over(by_pid).alias("__carried"), (F.row_number().over(by_pid) == 1).alias("__lead"))
-    inside = Window.partitionBy(PID).orderBy(AT)
-    out = chunks.join(F.broadcast(carried), PID).withColumn("__prev", F.when(F.col(AT) == 0, F.col("__carried")).otherwise(F.lag("__own").over(inside)))
-    out = out.withColumn("__first", (F.col(AT) == 0) & F.col("__lead"))
-    return out.select(*df.columns, *[F.col(f"__prev.{n}").alias(n) for n in values], "__first")
+    pid, at, n, start = free_names([*df.columns, name], "__pid", "__at", "__n", "__start")
+    dealt = chunks(df, order, pid, at)
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    sizes = dealt.groupBy(pid).agg(F.count("*").alias(n))
+    starts = sizes.select(pid, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    ranked = dealt.join(F.broadcast(starts), pid)
+    return ranked.select(*df.columns, (F.col(start) + F.col(at) + 1).cast("long").alias(name))
+
+
+def with_previous(df: DataFrame, order: list[Column], values: dict[str, Column], first: str | None = None) -> DataFrame:
+    """df with columns that hold the given values of the row before (null in the first row); `first`, if named, tells
+    whether a row is the first one."""
+    pid, at, own, last, carried, lead, prev = free_names([*df.columns, *values, first or ""], "__pid", "__at", "__own", "__last", "__carried", "__lead", "__prev")
+    dealt = chunks(df.select("*", F.struct(*[c.alias(n) for n, c in values.items()]).alias(own)), order, pid, at)
+    lasts = dealt.groupBy(pid).agg(F.max_by(own, at).alias(last))
+    by_pid = Window.orderBy(pid)  # one row for each partition
+    ends = lasts.select(pid, F.lag(last).over(by_pid).alias(carried), (F.row_number().over(by_pid) == 1).alias(lead))
+    inside = Window.partitionBy(pid).orderBy(at)
+    out = dealt.join(F.broadcast(ends), pid).withColumn(prev, F.when(F.col(at) == 0, F.col(carried)).otherwise(F.lag(own).over(inside)))
+    more = [((F.col(at) == 0) & F.col(lead)).alias(first)] if first else []
+    return out.select(*df.columns, *[F.col(f"{prev}.{n}").alias(n) for n in values], *more)
 
 
 def with_sum_before(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with the sum of value over all rows before."""
-    chunks = _chunks(df.withColumn("__v", value), order)
-    totals = chunks.groupBy(PID).agg(F.sum("__v").alias("__t"))
-    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(PID, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(PID).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
-    out = chunks.join(F.broadcast(starts), PID)
-    out = out.withColumn(name, F.col("__start") + F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    return out.select(*df.columns, name)
+    pid, at, v, t, start = free_names([*df.columns, name], "__pid", "__at", "__v", "__t", "__start")
+    dealt = chunks(df.withColumn(v, value), order, pid, at)
+    totals = dealt.groupBy(pid).agg(F.sum(v).alias(t))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = totals.select(pid, F.coalesce(F.sum(t).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(pid).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(starts), pid)
+    return out.select(*df.columns, (F.col(start) + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(name))

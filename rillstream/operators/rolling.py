@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillstream.operators.order import _in_order, _tuples
+from rillstream.functions.names import free_names
+from rillstream.operators.order import _in_order, added, comparable
 from rillstream.operators.ranks import with_sum_before
 from rillstream.plans.scratch import staged
 
 
 def prefix_max_bytes(df: DataFrame, size_col: str, position: str, limit: int) -> DataFrame:
     """The rows a writer takes that closes once `limit` bytes are written: those before which less than that was written."""
-    return with_sum_before(df, [F.col(position)], F.col(size_col), "__before").where(F.col("__before") < limit).drop("__before")
+    before = free_names(df.columns, "__before")[0]
+    return with_sum_before(df, [F.col(position)], F.coalesce(F.col(size_col), F.lit(0)), before).where(F.col(before) < limit).drop(before)
 
 
 class Roller:
@@ -44,9 +45,9 @@ class Roller:
 def roll_by_size(df: DataFrame, size_col: str, position: str, limit: int, within: Sequence[str] = (), name: str = "file_idx") -> DataFrame:
     """Numbers files: a file ends after the row that makes it exceed `limit` bytes; no limit if it is 0 or less.
 
-    Where a file starts depends on all sizes before. Of one order, only positions and sizes go through one task, sorted
-    by many before and searched in bulk; what comes out is a row for each file. The rows themselves are numbered where
-    they are, by a running count of starts over range partitions. Positions must be unique.
+    Where a file starts depends on all sizes before. Of one order, positions and sizes (and nothing else) go through one
+    task, which sorts them (it spills) and searches them in bulk; what comes out is a row for each file. The rows
+    themselves are numbered where they are, by a running count of starts over range partitions. Positions must be unique.
 
     `within` numbers the files of each group on its own, in one shuffle by group.
     """
@@ -61,25 +62,28 @@ def roll_by_size(df: DataFrame, size_col: str, position: str, limit: int, within
             ends = roller.starts(batch[1].to_numpy(zero_copy_only=False).astype(np.int64)) + 1
             at = np.concatenate([[0], ends]) if fresh else ends
             fresh = len(ends) > 0 and ends[-1] == len(batch) or (fresh and not len(batch))
-            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(at[at < len(batch)]))], names=["__opens"])
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(at[at < len(batch)]))], names=[opens])
 
-    kind = T.StructType([T.StructField("__opens", df.schema[position].dataType)])
+    opens, new, seen = free_names([*df.columns, name], "__opens", "__new", "__seen")
+    added(df, name, T.LongType())
+    kind = T.StructType([T.StructField(opens, df.schema[position].dataType)])
     slim = df.select(F.col(position), F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
-    starts = staged(slim.orderBy(position).coalesce(1).mapInArrow(run, kind), "file-starts")
-    marked = df.join(starts, F.col(position) == F.col("__opens"), "left").withColumn("__new", F.col("__opens").isNotNull().cast("long"))
-    counted = with_sum_before(marked, [F.col(position)], F.col("__new"), "__seen")
-    return counted.withColumn(name, (F.col("__seen") + F.col("__new")).cast("long")).select(*df.columns, name)
+    starts = staged(slim.repartition(1).sortWithinPartitions(position).mapInArrow(run, kind), "file-starts")
+    marked = df.join(starts, F.col(position) == F.col(opens), "left").withColumn(new, F.col(opens).isNotNull().cast("long"))
+    counted = with_sum_before(marked, [F.col(position)], F.col(new), seen)
+    return counted.select(*df.columns, (F.col(seen) + F.col(new)).cast("long").alias(name))
 
 
 def _roll_within(df: DataFrame, size_col: str, position: str, limit: int, parts: list[str], name: str) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    kind = added(df, name, T.LongType())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, roller, index = None, Roller(limit), 0
-        for frame in frames:
-            keys, sizes = _tuples(frame, parts), frame[size_col].fillna(0).to_numpy(np.int64)
+        for batch in batches:
+            keys = comparable(batch, parts)
+            sizes = batch.column(batch.schema.get_field_index(size_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
-            out = np.empty(len(frame), np.int64)
+            out = np.empty(len(keys), np.int64)
             for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
                 if keys[a] != now:
                     now, roller, index = keys[a], Roller(limit), 0
@@ -87,6 +91,6 @@ def _roll_within(df: DataFrame, size_col: str, position: str, limit: int, parts:
                 new[roller.starts(sizes[a:b]) + 1] = 1
                 numbers = index + np.cumsum(new)
                 out[a:b], index = numbers[:-1], int(numbers[-1])
-            yield frame.assign(**{name: out})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
-    return _in_order(df, parts, position).mapInPandas(run, schema)
+    return _in_order(df, parts, position).mapInArrow(run, kind)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillstream.functions.classify import token_of
-from rillstream.operators.ranks import AT, PID, _chunks
+from rillstream.operators.ranks import chunks
 
 #: What the type on the left becomes when a value of the type above comes (fixed values: they are the semantics of
 #: inference). A dash is a contradiction: the field becomes JSON and is frozen.
@@ -188,6 +188,7 @@ def tree(states: dict[str, tuple[int, bool]]) -> Node:
 
 
 NEVER = (1 << 62, 0)
+PID, AT = "__pid", "__at"
 PARTIAL = "path string, chunk long, step array<short>, pos array<long>, seq array<int>"
 
 
@@ -222,12 +223,13 @@ def _partials(ordered: DataFrame, json_col: str, frozen: dict[str, tuple[int, in
                                 return
                     h = held.get(path)
                     if h is None:
-                        h = held[path] = [np.arange(STATES, dtype=np.int16), np.full(STATES, -1, np.int64), np.zeros(STATES, np.int32)]
-                    if token is None:
+                        h = held[path] = [np.arange(STATES, dtype=np.int16), np.full(STATES, -1, np.int64), np.zeros(STATES, np.int32), None]
+                    if token is None or token == h[3]:
                         return
                     new = STEPS[token][h[0]]
                     fresh = (new % 2 == 1) & (h[0] % 2 == 0)
                     h[1][fresh], h[2][fresh] = at, seq
+                    h[3] = token if (new == h[0]).all() else None  # the same token once more changes nothing
                     h[0] = new
 
                 if text is not None:
@@ -255,7 +257,7 @@ def _resolved(partials: DataFrame) -> DataFrame:
 
 def infer_schema(df: DataFrame, json_col: str, position: str) -> Node:
     """The schema of the JSON texts of a column, read in position order. The driver gets one row for each field."""
-    ordered = _chunks(df.select(F.col(position).alias("__order"), F.col(json_col).cast("string").alias("__json")), [F.col("__order")])
+    ordered = chunks(df.select(F.col(position).alias("__order"), F.col(json_col).cast("string").alias("__json")), [F.col("__order")], PID, AT)
     ordered = ordered.withColumn(AT, F.col(PID).cast("long") * F.lit(1 << 33) + F.col(AT))  # one position over all chunks
     frozen: dict[str, tuple[int, int]] = {}
     while True:

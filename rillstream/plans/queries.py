@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +52,14 @@ def combine_concat(spark, sf_dir):
     return order.concat(three_streams(spark, sf_dir))
 
 
-@query(f"select * from ({STREAMS_SQL})")
+def in_order_of_rows(df: DataFrame, name: str = "rank") -> DataFrame:
+    """df with the number of each row in the order the rows come in, which shows whether they are sorted."""
+    return ranks.with_rank(df.withColumn("at", F.monotonically_increasing_id()), [F.col("at")], name).drop("at")
+
+
+@query(f"select *, row_number() over (order by user_id, stream_idx desc, event_id) as rank from ({STREAMS_SQL})")
 def merge_kway(spark, sf_dir):
-    return order.kway_merge(three_streams(spark, sf_dir), ["user_id"], "event_id")
+    return in_order_of_rows(order.kway_merge(three_streams(spark, sf_dir), ["user_id"], "event_id"))
 
 
 @query(f"select event_id, user_id, stream_idx, row_number() over (order by user_id, stream_idx desc, event_id) as rank from ({STREAMS_SQL})")
@@ -76,7 +82,21 @@ def sort_last_wins(spark, sf_dir):
     return order.sort_last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id")
 
 
-@query()
+def buffer_sql(size: int) -> str:
+    """What a buffer of that many rows lets go: a row a step and, after a user's last row, what is left in it."""
+    return f"""
+with recursive e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as rn, count(*) over (partition by user_id) as n from events),
+b as (select user_id, rn, n, [{{'v': value, 'e': event_id}}] as held, cast(null as struct(v double, e bigint)) as gone from e where rn = 1
+  union all
+  select x.user_id, x.rn, x.n,
+    list_append(list_filter(x.held, lambda h: h.v <> x.value and not (x.gone is not null and h.v = x.gone.v)), {{'v': x.value, 'e': x.event_id}}) as held, x.gone
+  from (select e.*, b.held, case when len(b.held) >= {size} and not list_contains(list_transform(b.held, lambda h: h.v), e.value) then list_min(b.held) end as gone
+        from b join e on e.user_id = b.user_id and e.rn = b.rn + 1) x),
+o as (select user_id, rn, gone as r from b where gone is not null union all select user_id, rn + 1, unnest(held) as r from b where rn = n),
+emitted as (select user_id, r.e as event_id, r.v as value, row_number() over (partition by user_id order by rn, r.v) - 1 as emitted from o)"""
+
+
+@query(buffer_sql(16) + " select * from emitted")
 def bounded_sort(spark, sf_dir):
     return order.bounded_sort(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["value"], "event_id", 16, ["user_id"])
 
@@ -106,22 +126,39 @@ def cluster_stats(spark, sf_dir):
     return runs(spark, sf_dir).groupBy("user_id").agg((F.max("cluster_id") + 1).cast("bigint").alias("clusters"), F.count("*").alias("n"))
 
 
-@query()
+BUFFERED_SQL = buffer_sql(8) + ",\n" + re.sub(r"\be\b", "f", RUNS_SQL.split("with recursive ")[1]).replace("from events", "from emitted").replace("order by event_id", "order by emitted")
+
+
+@query(BUFFERED_SQL + "select user_id, event_id, value, cast(cluster_id as integer) as cluster_id from r")
 def cluster_runs_buffered(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return order.cluster_runs(events, "value", "event_id", ["user_id"], buffer_size=8)
 
 
+@query()
+def cluster_runs_cascaded(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return order.cluster_runs(events, "value", "event_id", ["user_id"], buffer_size=8, cascade=True)
+
+
+GLOBAL_RUNS_SQL = RUNS_SQL.replace("partition by user_id ", "").replace("e.user_id = r.user_id and ", "")
+
+
+@query(GLOBAL_RUNS_SQL + "select event_id, value, cast(cluster_id as integer) as cluster_id from r")
+def global_runs(spark, sf_dir):
+    """One sequence over all rows, as the runs of an external sort are filled."""
+    return order.cluster_runs(table(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id", [])
+
+
 @query(RUNS_SQL + "select event_id, row_number() over (order by value, cluster_id desc, event_id) as rank from r")
 def external_sort_rank(spark, sf_dir):
     by = [F.col("value"), F.col("cluster_id").desc(), F.col("event_id")]
     return ranks.with_rank(runs(spark, sf_dir).select("event_id", "value", "cluster_id"), by).select("event_id", "rank")
 
 
-@query("select event_id, value from events")
+@query(RUNS_SQL + "select event_id, value, row_number() over (order by value, cluster_id desc, event_id) as rank from r")
 def external_sort(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "value").withColumn("run", F.lit(0))
-    return order.external_sort(events, ["value"], "run", "event_id").drop("run")
+    return in_order_of_rows(order.external_sort(runs(spark, sf_dir), ["value"], "cluster_id", "event_id")).select("event_id", "value", "rank")
 
 
 @query("select min(user_id) as min, max(user_id) as max, count(distinct user_id) as len from events")
@@ -135,10 +172,17 @@ def btree_delete_ends(spark, sf_dir):
     return own.delete_min().delete_max().df
 
 
-@query("select user_id, max(event_id) as event_id from events where user_id % 2 = 0 group by user_id")
+@query("select user_id, max(event_id) as event_id from events where user_id in (select c_custkey from customer) group by user_id")
 def btree_get(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return order.OrderedSet(events.select("user_id", "event_id"), "user_id", "event_id").get(events.where("user_id % 2 = 0"))
+    own = order.OrderedSet(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+    return own.get(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")))
+
+
+@query("select user_id, max(event_id) as event_id from (select user_id, event_id from events union all select c_custkey, -1 from customer) where user_id not in (select s_suppkey from supplier) group by user_id")
+def btree_insert_delete(spark, sf_dir):
+    own = order.OrderedSet(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id").clone()
+    more = own.insert(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("long").alias("event_id")))
+    return more.delete(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"))).df
 
 
 @query("select count(*) as rows, count(*) as counted from events")
@@ -235,17 +279,29 @@ def write_routed_roundtrip(spark, sf_dir):
     return back.select("doc_id", "source", "lang", F.col("partitions")[0]["value"].alias("s"), F.col("partitions")[1]["value"].alias("l"))
 
 
-@query(RUNS_SQL + "select 'user_id=' || user_id || '/sorted_records_p' || lpad(cast(cluster_id as varchar), 4, '0') || '_s.json' as file, count(*) as rows from r where user_id < 40 group by all")
+@query(RUNS_SQL + "select 'user_id=' || user_id || '/sorted_records_p' || lpad(cast(cluster_id as varchar), 4, '0') || '_s.json' as file, count(*) as rows from r group by all")
 def write_clustered_roundtrip(spark, sf_dir):
     target = sinks.Target(scratch_path(spark, "clusters"))
-    return sinks.write_clustered(runs(spark, sf_dir).where("user_id < 40"), target, ["user_id"], "cluster_id", "event_id")
+    return sinks.write_clustered(runs(spark, sf_dir), target, ["user_id"], "cluster_id", "event_id")
 
 
-@query(RUNS_SQL + "select 'user_id=' || user_id || '/sorted_records_p' || lpad(cast(cluster_id as varchar), 4, '0') || '_s.json' as file, count(*) as rows from r group by all")
-def write_clustered_all_roundtrip(spark, sf_dir):
-    """The runs of every user; write_clustered_roundtrip and its SQL look at the users below 40 only."""
-    target = sinks.Target(scratch_path(spark, "clusters"))
-    return sinks.write_clustered(runs(spark, sf_dir), target, ["user_id"], "cluster_id", "event_id")
+@query("select event_id, event_type, value, event_type as kind from events")
+def write_cached_roundtrip(spark, sf_dir):
+    """Two files open at once: types come and go, and with them their files."""
+    target = sinks.Target(scratch_path(spark, "cached"), gzip=True)
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    sinks.write_cached(events, target, F.concat(F.lit("kind="), F.col("event_type"), F.lit("/events_{suffix}.json")), max_open=2)
+    back = sinks.read_routed(spark, target, "event_id long, event_type string, value double")
+    return back.select("event_id", "event_type", "value", F.col("partitions")[0]["value"].alias("kind"))
+
+
+@query("select event_type as path, event_id, part from (select *, 0 as part from events union all select *, 1 as part from events where event_id % 3 = 0)")
+def memory_append(spark, sf_dir):
+    sink, events = sinks.MemorySink(), table(spark, sf_dir, "events").select("event_type", "event_id")
+    for rows in (events, events.where("event_id % 3 = 0")):
+        sink.append(rows, "events")
+    back = sink.read("events").select(F.from_json("value", "event_type string, event_id long").alias("v"), "part")
+    return back.select(F.col("v.event_type").alias("path"), "v.event_id", "part")
 
 
 ROLL_SQL = """
@@ -272,10 +328,15 @@ def roll_by_size_within(spark, sf_dir):
     return rolling.roll_by_size(docs, "b", "doc_id", 20_000, ["source"]).select("source", "doc_id", "file_idx")
 
 
-@query(ROLL_SQL.format(size="to_json({'doc_id': doc_id, 'lang': lang})") + "select 'docs_' || lpad(cast(file_idx as varchar), 6, '0') || '.ndjson.gz' as file, count(*) as rows from r group by all")
+LINE_SQL = "to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})"
+for c in "&<>":  # six characters each where they are escaped
+    LINE_SQL = f"replace({LINE_SQL}, '{c}', '......')"
+
+
+@query(ROLL_SQL.format(size=LINE_SQL) + "select 'docs_' || lpad(cast(file_idx as varchar), 6, '0') || '.ndjson.gz' as file, count(*) as rows from r group by all")
 def write_rolled_roundtrip(spark, sf_dir):
     target = sinks.Target(scratch_path(spark, "rolled"), gzip=True)
-    return sinks.write_rolled(table(spark, sf_dir, "documents").select("doc_id", "lang"), target, "doc_id", 20_000, "docs")
+    return sinks.write_rolled(table(spark, sf_dir, "documents"), target, "doc_id", 20_000, "docs")
 
 
 @query("select doc_id from (select doc_id, sum(strlen(text)) over (order by doc_id rows between unbounded preceding and 1 preceding) as before from documents) where coalesce(before, 0) < 100000")
@@ -286,8 +347,8 @@ def prefix_max_bytes(spark, sf_dir):
 
 # --- schema inference
 
-SAMPLES = ["2019-01-01", "2019-01-32", "2020-02-31", "2019-01-01 00:00:00", "2019-01-01T00:00:00Z", "2020-02-30T00:00:00Z", "2019-01-01T00:00:00+00:00", "2019-01-01T00:00:00junk",
-           "1", "-7", "9223372036854775807", "9223372036854775808", "1.5", "1e5", "1e400", "NaN", "Inf", "5d", " 5 ", "t", "F", "true", "FALSE", "0", "", "x"]
+SAMPLES = ["1987-06-05", "2031-12-00", "2031-00-12", "1999-02-30", "2044-11-30 23:59:59", "1600-02-29T12:00:00Z", "1900-02-29T12:00:00Z", "2011-05-06T07:08:09-03:30", "2011-05-06T07:08:09 at noon", "2011-05-06T07:60:09",
+           "42", "-300", "+17", "9223372036854775807", "-9223372036854775809", "6.25", "-2E-3", "3e999", "nan", "-inf", "12px", " 8", "T", "f", "True", "false", "1", "yes", "", "-"]
 _SAMPLE_SQL = ", ".join(f"('{s}')" for s in SAMPLES)
 CLASSIFY_SQL = f"""
 with s as (select col0 as value from (values {_SAMPLE_SQL}) union all select cast(event_id as varchar) from events union all select cast(cast(ts as date) as varchar) from events
@@ -429,8 +490,28 @@ def tuple_roundtrip(spark, sf_dir):
     return keyed.select(tuples.unpacked(F.col("key"), "event_id long, event_type string, value double, user_id long").alias("t")).select("t.*")
 
 
+@query("""with s as (select event_id, user_id % 5 as user, case when event_id % 4 = 0 then unhex('FFFFFFFFFFFFFFFFFFFF') else unhex(lpad(hex(event_id), 20, '0')) end as tx from events)
+select event_id, event_id % 4 = 0 as incomplete, lower(hex(tx)) || lpad(lower(hex(user)), 4, '0') as stamp, case when event_id % 4 <> 0 then '33' || lower(hex(tx)) || lpad(lower(hex(user)), 4, '0') end as key from s""")
+def versionstamps(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    user = (F.col("user_id") % 5).cast("int")
+    known = F.struct(F.unhex(F.lpad(F.hex("event_id"), 20, "0")).alias("transaction"), user.alias("user"))
+    rows = events.select("event_id", F.when(F.col("event_id") % 4 == 0, tuples.incomplete_stamp(user)).otherwise(known).alias("s"))
+    return rows.select("event_id", tuples.has_incomplete(F.col("s")).alias("incomplete"), F.lower(F.hex(tuples.stamp_bytes(F.col("s")))).alias("stamp"), F.lower(F.hex(tuples.stamp_key(F.col("s")))).alias("key"))
+
+
 # --- liveness
 
+@query(f"""with n as (select max(ts) as last, max(ts) - interval 2 day as shut from events),
+g as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events)
+select user_id, cast(sum(case when p is null or epoch_us(ts) - epoch_us(p) >= {DAY_US} or (p <= shut and ts > shut) then 1 else 0 end) as bigint) as created, max(ts) as last_ping,
+  epoch_us(any_value(last)) - epoch_us(max(ts)) < {DAY_US} and max(ts) > any_value(shut) as alive from g, n group by user_id""")
+def liveness_index(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = events.agg(F.max("ts")).first()[0]
+    return liveness.liveness_index(events, ["user_id"], "ts", DAY_US, F.lit(now), F.lit(now) - F.expr("interval 2 days"))
+
+
 @query(f"select event_id, user_id, cast(sum(case when gap >= {DAY_US} then 1 else 0 end) over (partition by user_id order by ts, event_id) as bigint) as session_id from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events)")
 def idle_sessions(spark, sf_dir):
     return liveness.idle_sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", DAY_US, "event_id").select("event_id", "user_id", "session_id")
@@ -455,12 +536,16 @@ def source_descending(spark, sf_dir):
     return json_values.descending(spark, 1000)
 
 
-@query()
+@query("select range as pos, cast('0x' || substr(md5('1/' || range), 1, 15) as bigint) % 20000 as val from range(1000)")
 def source_random(spark, sf_dir):
     return json_values.random_values(spark, 20_000, 1000)
 
 
-@query()
+_UNIFORM = "((cast('0x' || substr(md5('1/{}/' || range), 1, 15) as bigint) % 1073741824 + 1) / 1073741825.0::double)"
+
+
+@query(f"""select range as pos, printf('%05d', cast(trunc(sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * {_UNIFORM.format(2)}) * sqrt(30.0::double) + 15) as integer)) as id,
+  make_timestamp(1000000 * (946688461 + 3600 * cast(floor({_UNIFORM.format(3)} * 48) as bigint))) as event_time from range(1000)""")
 def source_random_events(spark, sf_dir):
     return json_values.random_events(spark, 30, 2, 1000)
 
@@ -470,6 +555,18 @@ def source_pipe(spark, sf_dir):
     return json_values.pipe(spark, lambda push: [push((k * k,)) for k in range(100)], "val long")
 
 
+@query("select range as pos, range * range as val from range(2500)")
+def source_record_pipe(spark, sf_dir):
+    """Read as a stream while it is written."""
+    from rillstream.sources.pipe import RecordPipe
+
+    pipe = RecordPipe(spark, "val long", chunk=1000, room=2000)
+    for k in range(2500):
+        pipe.push(k * k)
+    pipe.stop()
+    return stateful.run_available(pipe.stream(), "record-pipe")
+
+
 # --- streams
 
 def event_stream(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -508,5 +605,23 @@ def flagship(spark, sf_dir):
     return found.groupBy("user_id", "day", "cluster_id").agg(F.count("*").alias("rows"))
 
 
-def mixed_rows() -> list:
-    return [json.loads(line) for line in MIXED]
+
+@query("select count(*) as rows, count(*) as counted, true as closed_once from events")
+def stream_counted(spark, sf_dir):
+    """A stream whose rows are counted as it runs, with hooks around its end."""
+    from rillstream.streaming.hooks import HookedStream
+
+    count, closed = taps.RunningCount(spark), []
+    path = scratch_path(spark, "stream-counted")
+    try:
+        query = count.tapped(event_stream(spark, sf_dir, "event_id")).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").start()
+        stream = HookedStream(query).before_close(lambda: closed.append("before")).after_close(closed.append)
+        stream.close()
+        n = spark.read.schema("event_id long").parquet(f"{path}/out").count()
+        for _ in range(100):  # progress is told a moment later
+            if count.rows >= n:
+                break
+            time.sleep(0.1)
+    finally:
+        count.close()
+    return spark.createDataFrame([(n, count.rows, closed == ["before", None])], "rows long, counted long, closed_once boolean")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,15 +82,19 @@ def descending(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n + 1).select(F.col("id").alias("pos"), (F.lit(n) - F.col("id")).alias("val"))
 
 
+def _hashed(*parts: Column) -> Column:
+    """60 bits of a digest of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def random_values(spark: SparkSession, most: int, n: int, seed: int = 1) -> DataFrame:
     """n numbers from 0 to most - 1, the same for the same seed."""
-    u = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(most))
-    return spark.range(n).select(F.col("id").alias("pos"), u.alias("val"))
+    return spark.range(n).select(F.col("id").alias("pos"), (_hashed(F.lit(seed), F.col("id")) % most).alias("val"))
 
 
 def random_events(spark: SparkSession, ids: int, days: float, n: int, seed: int = 1) -> DataFrame:
     """Events of about normally distributed ids at whole hours within the days after 2000-01-01 01:01:01."""
-    one = lambda k: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    one = lambda k: (_hashed(F.lit(seed), F.lit(k), F.col("id")) % (1 << 30) + 1) / F.lit(float((1 << 30) + 1))
     normal = F.sqrt(-2 * F.ln(one(1))) * F.cos(2 * F.pi() * one(2))
     who = F.format_string("%05d", (normal * F.sqrt(F.lit(float(ids))) + ids / 2).cast("int"))
     when = F.timestamp_seconds(F.lit(946688461) + 3600 * F.floor(one(3) * 24 * days))

@@ -1,23 +1,23 @@
-"""NDJSON sinks: plain, rolled by size, partitioned, partitioned and clustered; gzip or not.
+"""NDJSON sinks: plain, rolled by size, partitioned, partitioned and clustered, through a cache of open files; gzip or not.
 
-Plain and partitioned sinks use Spark's own writer and its commit protocol. Rolled and clustered files have names that
-are part of the contract, so they are written by tasks through the Hadoop file system of the target, each file once,
-under a temporary name that is renamed when complete: a task that is run again replaces its file.
+Plain and partitioned sinks use Spark's own writer and its commit protocol. Rolled, clustered and cached files have
+names that are part of the contract, so tasks write them, each file once under a hidden name of this attempt, and a
+second pass names those that the tasks which ended well report. A bare path belongs to Spark's default file system.
 """
 
 from __future__ import annotations
 
-import gzip
-import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstream.functions.jsontext import json_line, line_bytes
 from rillstream.functions.partition import pairs, parse_path, partition_path
 from rillstream.operators.rolling import roll_by_size
+from rillstream.sources.writers import MANIFEST, WriterCache, publish, qualified
 
 
 @dataclass(frozen=True)
@@ -80,13 +80,58 @@ def read_routed(spark: SparkSession, target: Target, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("v"), "partitions").select("v.*", "partitions")
 
 
+class MemorySink:
+    """Lines kept by Spark (memory first, disk beyond) under paths; what is appended follows what is there. For tests and
+    small results: it lasts as long as the application."""
+
+    def __init__(self):
+        self.parts: dict[str, list[DataFrame]] = {}
+
+    def append(self, df: DataFrame, path: str) -> None:
+        lines = df.select(json_line(df).alias("value")).persist()
+        lines.count()
+        self.parts.setdefault(path, []).append(lines)
+
+    def read(self, path: str) -> DataFrame:
+        """The lines of a path, with the number of the append they came by."""
+        out = None
+        for k, lines in enumerate(self.parts[path]):
+            one = lines.withColumn("part", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def clear(self) -> None:
+        for lines in sum(self.parts.values(), []):
+            lines.unpersist()
+        self.parts = {}
+
+
 def memory_view(df: DataFrame, name: str) -> DataFrame:
-    """Lines kept by Spark (memory first, disk beyond) under a view's name; for tests and small results."""
+    """Lines kept by Spark under a view's name."""
     lines = df.select(json_line(df).alias("value")).persist()
     lines.createOrReplaceTempView(name)
     return lines
 
 
+def write_cached(df: DataFrame, target: Target, path: Column, max_open: int = 0, ttl_s: float = 0) -> DataFrame:
+    """Each row's line to the file its path names, in the order the task has the rows, without a shuffle: a task keeps up
+    to max_open files open and closes the least recently used, or those idle for ttl_s. Paths hold {suffix}, as a file
+    may be closed and the path come again. Returns file and rows."""
+    base = qualified(df.sparkSession, target.base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WriterCache(base, target.gzip, max_open, ttl_s)
+        for batch in batches:
+            for name, line in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                cache.write(name, line.encode() + b"\n")
+            yield cache.finished()
+        cache.close()
+        yield cache.finished()
+
+    named = df.select(path.alias("file"), json_line(df).alias("line"))
+    return publish(named.mapInArrow(run, MANIFEST), base)
+
+
 def cluster_file(parts: Column, cluster: Column, suffix: str = "") -> Column:
     """{parts}/sorted_records_p0000_s{suffix}.json"""
     return F.concat(parts, F.format_string("sorted_records_p%04d_s%s.json", cluster, F.lit(suffix)))
@@ -116,45 +161,19 @@ def write_files(rows: DataFrame, target: Target) -> DataFrame:
     A file's rows come together and in order; a task holds the line it writes. Files of one task follow each other, so
     that one is open at a time.
     """
-    import pyarrow as pa
-    from pyarrow import fs as pafs
+    base = qualified(rows.sparkSession, target.base)
 
-    def run(batches):
-        open_name, sink, written, temp, files = None, None, 0, "", None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WriterCache(base, target.gzip, max_open=1)
         for batch in batches:
-            done = []
             for name, line in zip(batch[0].to_pylist(), batch[2].to_pylist(), strict=True):
-                if name != open_name:
-                    if sink is not None:
-                        done.append(finish(files, sink, temp, open_name, written))
-                    files, path = pafs.FileSystem.from_uri(target.named(name)) if "://" in target.base or target.base.startswith("file:") else (pafs.LocalFileSystem(), target.named(name))
-                    files.create_dir(os.path.dirname(path), recursive=True)
-                    temp = f"{path}.part-{os.getpid()}"
-                    raw = files.open_output_stream(temp, compression=None)
-                    sink = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) if target.gzip else raw
-                    held[:] = [raw, path]
-                    open_name, written = name, 0
-                sink.write(line.encode() + b"\n")
-                written += 1
-            yield result(done)
-        if sink is not None:
-            yield result([finish(files, sink, temp, open_name, written)])
-
-    held: list = [None, None]
-
-    def finish(files, sink, temp, name, written):
-        sink.close()
-        if not held[0].closed:
-            held[0].close()
-        files.move(temp, held[1])
-        return name + (".gz" if target.gzip and not name.endswith(".gz") else ""), written
-
-    def result(done):
-        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "rows"])
+                cache.write(name, line.encode() + b"\n")
+            yield cache.finished()
+        cache.close()
+        yield cache.finished()
 
     ordered = rows.select("file", "pos", "line").repartition("file").sortWithinPartitions("file", "pos")
-    out = ordered.mapInArrow(run, "file string, rows long")
-    return rows.sparkSession.createDataFrame(out.collect(), "file string, rows long")  # one row for each file
+    return publish(ordered.mapInArrow(run, MANIFEST), base)
 
 
 def read_back(spark: SparkSession, target: Target, schema: str) -> DataFrame:

@@ -35,3 +35,36 @@ def stop_when_idle(query: StreamingQuery, max_idle_s: float, poll_s: float = 0.2
             query.stop()
             return
         time.sleep(poll_s)
+
+
+class HookedStream:
+    """A running stream with work to do before and after it is closed; it can be closed once."""
+
+    def __init__(self, query: StreamingQuery):
+        self.query, self.before, self.after, self.closed = query, [], [], False
+
+    def before_close(self, *hooks: Callable[[], None]) -> HookedStream:
+        self.before += hooks
+        return self
+
+    def after_close(self, *hooks: Callable[[BaseException | None], None]) -> HookedStream:
+        """Each is told what went wrong in the stream or while it was closed, None if nothing did."""
+        self.after += hooks
+        return self
+
+    def close(self) -> None:
+        if self.closed:
+            raise RuntimeError("the stream is closed already")
+        for hook in self.before:
+            hook()
+        error: BaseException | None = None
+        try:
+            self.query.processAllAvailable()
+            self.query.stop()
+        except Exception as e:
+            error = e
+        self.closed = True
+        for hook in self.after:
+            hook(error)
+        if error is not None:
+            raise error

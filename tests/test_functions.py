@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import uuid
+from urllib.parse import quote_plus
 
 import pytest
 from hypothesis import given, settings
@@ -13,11 +14,11 @@ from rillstream.functions import backoff, classify, partition, tuples
 from rillstream.functions.jsontext import json_line
 
 CASES = {
-    "2019-01-01": "DATE", "2019-01-32": "STRING", "2019-13-01": "STRING", "2020-02-31": "DATE", "2019-01-01 00:00:00": "DATETIME", "2019-01-01T00:00:00": "DATETIME",
-    "2019-01-01T00:00:00Z": "TIMESTAMP", "2019-01-01 00:00:00Z": "TIMESTAMP", "2019-01-01T00:00:00+00:00": "TIMESTAMP", "2019-02-29T00:00:00Z": "DATETIME", "2020-02-29T00:00:00Z": "TIMESTAMP",
-    "2019-01-01T00:00:00 whatever": "DATETIME", "2019-01-01T24:00:00Z": "STRING", "1": "INTEGER", "0": "INTEGER", "-5": "INTEGER", "+5": "INTEGER", "9223372036854775807": "INTEGER",
-    "9223372036854775808": "FLOAT", "-9223372036854775808": "INTEGER", "1.232": "FLOAT", "1e5": "FLOAT", ".5": "FLOAT", "5.": "FLOAT", "1e400": "STRING", "inf": "FLOAT", "-Infinity": "FLOAT", "NaN": "FLOAT",
-    "0x1p-2": "FLOAT", "5d": "STRING", " 5 ": "STRING", "t": "BOOLEAN", "F": "BOOLEAN", "TRUE": "BOOLEAN", "yes": "STRING", "": "STRING", "1_000.5": "FLOAT", "2019-01-01T00:00:00.123+02:00": "TIMESTAMP",
+    "1987-06-05": "DATE", "2031-12-00": "STRING", "2031-00-12": "STRING", "2031-12-41": "STRING", "1999-02-30": "DATE", "2044-11-30 23:59:59": "DATETIME", "2044-11-30T23:59:59": "DATETIME",
+    "1987-06-05T04:03:02Z": "TIMESTAMP", "1987-06-05 04:03:02Z": "TIMESTAMP", "2011-05-06T07:08:09-03:30": "TIMESTAMP", "1900-02-29T12:00:00Z": "DATETIME", "1600-02-29T12:00:00Z": "TIMESTAMP",
+    "2011-05-06T07:08:09 at noon": "DATETIME", "2011-05-06T07:60:09": "STRING", "2011-05-06T25:08:09": "STRING", "42": "INTEGER", "0": "INTEGER", "-300": "INTEGER", "+17": "INTEGER", "9223372036854775807": "INTEGER",
+    "9223372036854775808": "FLOAT", "-9223372036854775808": "INTEGER", "-9223372036854775809": "FLOAT", "6.25": "FLOAT", "-2E-3": "FLOAT", ".75": "FLOAT", "8.": "FLOAT", "3e999": "STRING", "INF": "FLOAT", "-infinity": "FLOAT", "nan": "FLOAT",
+    "0xAp3": "FLOAT", "12px": "STRING", " 8": "STRING", "T": "BOOLEAN", "f": "BOOLEAN", "False": "BOOLEAN", "no": "STRING", "": "STRING", "3_500.25": "FLOAT", "2011-05-06T07:08:09.5+12:45": "TIMESTAMP",
 }
 
 
@@ -35,8 +36,8 @@ def test_column_and_python_classes_agree(spark):
     assert [(x.s, x.t, classify.token_of(x.s)) for x in rows if x.t != classify.token_of(x.s)] == []
 
 
-KVS = [("test1", "value1"), ("test2", "value2"), ("test3", 'åäöl/~#"!#=)(/&%¤#)\\')]
-KEY = "test1=value1/test2=value2/test3=%C3%A5%C3%A4%C3%B6l%2F~%23%22%21%23%3D%29%28%2F%26%25%C2%A4%23%29%5C"
+KVS = [("country", "São Tomé"), ("a b", "x=y&z"), ("path", "up/../down?*~'\""), ("empty", "")]
+KEY = "/".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in KVS)
 
 
 def one_row(spark, *cols):
@@ -145,6 +146,25 @@ def test_keys_of_a_frame(spark):
     assert keys[0] == tuples.pack((1, "a", None, (2, "x"))) and keys[1] == tuples.pack((None, "b", 1.5, None))
 
 
+def test_keys_of_nulls_and_taken_names(spark):
+    df = spark.createDataFrame([(1, "a", b"old"), (None, None, None)], "n long, s string, Key binary")
+    keyed = tuples.with_key(df, ["n", "s"], "key")
+    assert keyed.columns == ["n", "s", "key"]
+    rows = keyed.select(F.when(F.col("n") == 1, F.col("key")).alias("k")).select(tuples.unpacked(F.col("k"), "n long, s string").alias("t")).select("t.*").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, "a"), (None, None)]
+
+
+def test_versionstamp_columns(spark):
+    rows = spark.createDataFrame([(b"0123456789", 7), (tuples.UNSET, 258)], "transaction binary, user int").select(F.struct("transaction", "user").alias("s"))
+    got = rows.select(tuples.is_incomplete(F.col("s")).alias("open"), tuples.stamp_bytes(F.col("s")).alias("raw"), tuples.stamp_key(F.col("s")).alias("key")).collect()
+    assert [r.open for r in got] == [False, True] and bytes(got[0].key) == tuples.pack((tuples.Versionstamp(b"0123456789", 7),)) and got[1].key is None
+    assert bytes(got[1].raw) == tuples.Versionstamp(tuples.UNSET, 258).pack()
+    assert rows.select(tuples.incomplete_stamp(F.lit(3)).alias("i")).first().i.user == 3
+    assert [r[0] for r in rows.select(tuples.count_incomplete(F.col("s"), F.col("s"))).collect()] == [0, 2]
+    with pytest.raises(Exception, match="more than one incomplete"):
+        rows.select(tuples.has_incomplete(F.col("s"), F.col("s"))).collect()
+
+
 def test_json_lines(spark):
     df = spark.createDataFrame([("<&>", None, (2, 1))], "b string, a int, c struct<z:int,y:int>")
     assert df.select(json_line(df)).first()[0] == '{"a":null,"b":"\\u003c\\u0026\\u003e","c":{"y":1,"z":2}}'
@@ -154,7 +174,10 @@ def test_json_lines(spark):
 def test_backoff():
     b = backoff.Backoff(min_s=0.5, rng=random.Random(1))
     for attempt in range(8):
-        assert 0.5 <= b.delay(attempt) <= 0.5 * 2 ** (attempt + 1)
+        seen = [b.delay(attempt) for _ in range(200)]
+        assert min(seen) >= 0 and max(seen) <= 0.5 * (2 ** (attempt + 1) - 1) and all(d / 0.5 == int(d / 0.5) for d in seen)
+    assert min(b.delay(0) for _ in range(50)) == 0 and backoff.Backoff().max_attempts == 100
+    assert all(backoff.Backoff(min_s=2, at_least_min=True, max_s=9).delay(a) in (2, 4, 6, 8, 9) for a in range(6))
     slept, tries = [], []
 
     def work():
@@ -165,6 +188,10 @@ def test_backoff():
 
     assert b.with_max_attempts(3).with_min(0.1).with_scale(2).retry(work, sleep=slept.append) == "done" and len(slept) == 3
     tries.clear()
+    with pytest.raises(OSError):
+        b.with_max_attempts(5).with_start_attempt(4).retry(work, sleep=slept.append)
+    assert len(tries) == 2
+    tries.clear()
     with pytest.raises(OSError):
         b.with_max_attempts(1).retry(work, sleep=slept.append)
 

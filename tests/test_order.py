@@ -31,11 +31,13 @@ def test_concat_keeps_streams_in_order(spark):
         order.concat([])
 
 
-@pytest.mark.parametrize("streams", [[(1, 3), (2, 12), (4, 7), (1, 10)], [(1, 5)], [(3, 4), (3, 4)]])
-def test_merge_is_sorted_and_ties_go_to_the_later_stream(spark, streams):
-    dfs = [frame(spark, [i * m for i in range(1, n + 1)]) for m, n in streams]
-    got = [(r.v, r.stream_idx, r.pos) for r in order.kway_merge(dfs, ["v"], "pos").collect()]
-    want = sorted(((i * m, s, i - 1) for s, (m, n) in enumerate(streams) for i in range(1, n + 1)), key=lambda r: (r[0], -r[1], r[2]))
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_is_sorted_and_ties_go_to_the_later_stream(spark, seed):
+    r = random.Random(seed)
+    streams = [sorted(r.choices(range(-9, 25), k=r.randint(0, 17))) for _ in range(seed * 2 + 1)]
+    dfs = [frame(spark, values) for values in streams]
+    got = [(x.v, x.stream_idx, x.pos) for x in order.kway_merge(dfs, ["v"], "pos").collect()]
+    want = sorted(((v, s, i) for s, values in enumerate(streams) for i, v in enumerate(values)), key=lambda x: (x[0], -x[1], x[2]))
     assert got == want
     ranked = order.merge_ranked(dfs, ["v"], "pos").orderBy("rank").collect()
     assert [(r.v, r.stream_idx, r.pos) for r in ranked] == want and [r["rank"] for r in ranked] == list(range(1, len(want) + 1))
@@ -131,12 +133,90 @@ def test_ordered_set(spark):
 
 
 def test_roll_by_size_ends_a_file_after_the_row_that_exceeds(spark):
-    df = frame(spark, [49] * 10)
+    df = frame(spark, [30] * 9)
     files = lambda limit: [r.file_idx for r in rolling.roll_by_size(df, "v", "pos", limit).orderBy("pos").collect()]
-    assert files(-1) == files(0) == [0] * 10
-    assert files(1) == list(range(10))
-    assert files(60) == [i // 2 for i in range(10)]
-    assert files(98) == [i // 3 for i in range(10)]
+    assert files(-5) == files(0) == [0] * 9
+    assert files(29) == list(range(9))
+    assert files(30) == [i // 2 for i in range(9)]
+    assert files(90) == [i // 4 for i in range(9)]
+
+
+BIG = (1 << 60) + 1
+
+
+def test_nulls_and_large_numbers_stay_what_they_are(spark):
+    rows = [(0, None, BIG, 4.0, "x"), (1, None, None, 2.0, None), (2, None, BIG, 0.0, "y"), (3, 7, None, float("nan"), "z"), (4, 7, BIG, None, None), (5, 7, 1, 1.0, ""), (6, None, 2, None, "w")]
+    df = spark.createDataFrame(rows, "pos long, part int, big long, v double, s string").repartition(3)
+    got = sorted(tuple(r) for r in order.cluster_runs(df, "v", "pos", ["part"]).collect())
+    # null < numbers < NaN: 4, 2, 0, null fall; NaN, null rises to 1 in the second run
+    assert [g[0] for g in got] == list(range(7)) and [g[-1] for g in got] == [0, 1, 2, 0, 1, 1, 3]
+    assert [(g[1], g[2], g[4]) for g in got] == [(r[1], r[2], r[4]) for r in rows]
+    sorted_ = order.bounded_sort(df, ["v"], "pos", 2, ["part"]).orderBy("part", "emitted").collect()
+    assert [x.pos for x in sorted_] == [1, 2, 6, 0, 4, 5, 3] and {x.pos: x.big for x in sorted_} == {r[0]: r[2] for r in rows}
+    rolled = rolling.roll_by_size(df.withColumn("n", F.lit(5)), "n", "pos", 9, ["part"]).collect()
+    assert {x.pos: (x.file_idx, x.big) for x in rolled} == {0: (0, BIG), 1: (0, None), 2: (1, BIG), 6: (1, 2), 3: (0, None), 4: (0, BIG), 5: (1, 1)}
+    keys = order.cluster_runs(df, "big", "pos", ["part"]).collect()
+    assert {x.pos: x.cluster_id for x in keys} == {0: 0, 1: 1, 2: 0, 6: 1, 3: 0, 4: 0, 5: 1}
+
+
+def test_names_of_helpers_may_be_taken(spark):
+    df = frame(spark, [3, 3, 1]).withColumns({c: F.lit("own") for c in ("__pid", "__at", "__n", "__start", "__p_v", "__row", "__own", "__prev", "__before", "__new", "__seen", "__opens", "__emitted", "__end", "__v", "__t", "__last")})
+    assert order.dedup_adjacent(df, ["v"], "pos").columns == df.columns and order.dedup_adjacent(df, ["v"], "pos").count() == 2
+    assert order.dedup_adjacent(df, ["v"], "pos", ["__pid"]).count() == 2 and order.sort_last_wins(df, ["v"], "pos").count() == 2
+    assert [r["rank"] for r in ranks.with_rank(df, [F.col("pos")]).orderBy("pos").collect()] == [1, 2, 3]
+    assert [r.b for r in ranks.with_sum_before(df, [F.col("pos")], F.col("v"), "b").orderBy("pos").collect()] == [0, 3, 6]
+    assert rolling.roll_by_size(df, "v", "pos", 3).count() == 3 and rolling.prefix_max_bytes(df, "v", "pos", 4).count() == 2
+    assert order.cluster_runs(df, "v", "pos", ["__pid"], buffer_size=2).columns == [*df.columns, "cluster_id"]
+    assert order.OrderedSet(df, "v", "pos").delete_min().df.count() == 1
+    with pytest.raises(ValueError):
+        order.cluster_runs(df, "v", "pos", [], "__PID")
+
+
+def cascade(values, size):
+    """Buffers behind each other, as a loop: (value, position) in the order they leave."""
+    buffers, out = [], []
+    for i, v in enumerate(values):
+        for k, b in enumerate(buffers):
+            if len(b) < size:
+                b[v] = i
+                break
+            if v >= min(b) or k == 6:
+                b[v] = i
+                low = min(b)
+                out.append((low, b.pop(low)))
+                break
+        else:
+            buffers.append({v: i})
+    return out + [x for b in buffers for x in sorted(b.items())]
+
+
+@pytest.mark.parametrize("size", [1, 3, 10])
+def test_cascaded_buffers_equal_a_loop(spark, size):
+    r = random.Random(size)
+    values = [200 - i + r.randint(0, 40) for i in range(150)] + [r.randint(0, 300) for _ in range(150)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        df = frame(spark, values).withColumn("g", F.lit("a")).repartition(3)
+        want = cascade(values, size)
+        got = order.cascaded_sort(df, ["v"], "pos", size, ["g"]).orderBy("emitted").collect()
+        assert [(x.v, x.pos) for x in got] == want
+        runs = order.cluster_runs(df, "v", "pos", ["g"], buffer_size=size, cascade=True).collect()
+        assert {x.pos: x.cluster_id for x in runs} == dict(zip([p for _, p in want], first_fit([v for v, _ in want]), strict=True))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    with pytest.raises(ValueError):
+        order.cascaded_sort(df, ["v"], "pos", 0, ["g"])
+
+
+def test_an_index_of_keys(spark):
+    rows = [("a", 0), ("a", 50), ("a", 170), ("b", 10), ("c", 175), ("d", 5), ("d", 120)]
+    df = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    got = {r.k: (r.created, r.alive) for r in liveness.liveness_index(df, ["k"], "ts", 100_000_000, at(180)).collect()}
+    assert got == {"a": (2, True), "b": (1, False), "c": (1, True), "d": (2, True)}
+    shut = {r.k: (r.created, r.alive) for r in liveness.liveness_index(df, ["k"], "ts", 500_000_000, at(180), at(120)).collect()}
+    assert shut == {"a": (2, True), "b": (1, False), "c": (1, True), "d": (1, False)}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -202,8 +282,7 @@ def test_idle_sessions_end_at_exactly_the_gap(spark):
 
 def test_external_sort_of_global_runs_keeps_duplicates(spark):
     r = random.Random(9)
-    loads = [[r.randrange(2000) for _ in range(n)] for n in (20, 100, 10, 5, 10)] + [[7] * 5]
-    values = [v for load in loads for v in load]
+    values = [r.randrange(500) + k // 3 for k in range(160)] + [-4] * 6
     runs = order.cluster_runs(frame(spark, values).repartition(3), "v", "pos", [])
     assert [x.cluster_id for x in runs.orderBy("pos").collect()] == first_fit(values)
     got = order.external_sort(runs, ["v"], "cluster_id", "pos").collect()
