@@ -9,14 +9,17 @@ The field is trained on labelled pages that page_maker() composes from seeded la
 forms, sidebars, reader comments and footers around and inside articles of many forms, with unclosed tags.
 
 Defined results: null and empty pages give an empty text; pages without main blocks too; text outside any tag is a
-block like others; unclosed and stray tags are tolerated; repeated rows get repeated results; further columns are ignored.
+block like others; head and body tags may be left out; unclosed and stray tags are tolerated (an unclosed script, style,
+title or textarea swallows the rest, as in browsers; of other elements without text the content goes on); time grows
+with the length of a page, however deep it nests; repeated rows get repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -36,23 +39,38 @@ DECAY = 1e-5
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text.
-SILENT = frozenset("script style noscript template iframe object svg math canvas head audio video textarea title".split())
+SILENT = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
+#: Of these, those that only their end tag ends.
+RAW = frozenset("script style textarea title".split())
+#: Elements whose tags may be left out and say nothing.
+PLAIN = frozenset("html head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes, unless one of SCOPE stands between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article section div main aside nav header footer form table ul ol dl body html blockquote figure button details".split())
 STRUCTURE = frozenset("nav header footer aside form article main section ul ol dl li table td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p div button select option label dialog details summary menu fieldset address a".split())
 
+#: Of these an article's blocks tell whether they stand below one.
+UNDER = frozenset("header footer aside nav form section ul li".split())
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RIGHTS = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 
 
+@dataclass(slots=True, eq=False)
+class Element:
+    """An element above blocks: tag and words of its attributes, and the one it stands in."""
+
+    entry: str
+    parent: Element | None
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    element: Element | None
     linked: int
 
 
@@ -64,11 +82,48 @@ def attribute_words(attrs: str) -> str:
     return " ".join(dict.fromkeys(w.lower() for w in NAME_WORD.findall(said)))
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that closing costs what it closes."""
+
+    def __init__(self):
+        self.items: list[tuple[str, Element | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    @property
+    def here(self) -> Element | None:
+        """The innermost element that is no inline one."""
+        return self.items[-1][1] if self.items else None
+
+    def push(self, tag: str, entry: str) -> None:
+        at = len(self.items)
+        self.items.append((tag, self.here if tag in INLINE else Element(entry, self.here)))
+        self.places.setdefault(tag, []).append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+
+    def find(self, names: tuple[str, ...], scoped: bool) -> int:
+        """The place of the innermost element of these names, -1 if there is none or, where scoped, SCOPE stands between."""
+        at = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        return -1 if scoped and self.scopes and self.scopes[-1] > at else at
+
+    def cut(self, at: int) -> list[str]:
+        """Takes out all from there on; their tags."""
+        gone = [tag for tag, _ in self.items[at:]]
+        for tag in reversed(gone):
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+        del self.items[at:]
+        return gone
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order; path entries are a tag and the words of its attributes."""
+    """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = Stack()
     held: list[str] = []
+    endless: set[str] = set()
     linked = links = 0
 
     def flush() -> None:
@@ -76,7 +131,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, tuple(e for t, e in stack if t not in INLINE), linked))
+                out.append(Block(text, stack.here, linked))
             held.clear()
         linked = 0
 
@@ -90,15 +145,12 @@ def leaf_blocks(html: str) -> list[Block]:
 
     def close(names: tuple[str, ...], scoped: bool) -> None:
         nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                if any(t not in INLINE for t, _ in stack[k:]):
-                    flush()
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if scoped and stack[k][0] in SCOPE:
-                return
+        at = stack.find(names, scoped)
+        if at < 0:
+            return
+        if any(tag not in INLINE for tag, _ in stack.items[at:]):
+            flush()
+        links -= stack.cut(at).count("a")
 
     at = 0
     while at < len(html):
@@ -119,7 +171,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if tag == "br":
             held.append(" ")
             continue
-        if tag in VOID:
+        if tag in VOID or tag in PLAIN:
             if tag not in INLINE:
                 flush()
             continue
@@ -127,39 +179,64 @@ def leaf_blocks(html: str) -> list[Block]:
             if not (m[3] or "").rstrip().endswith("/"):
                 if tag not in INLINE:
                     flush()
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                if end is None and tag == "head":
-                    end = re.compile(r"(?=<body)", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(html)
+                else:
+                    endless.add(tag)
             continue
         if tag not in INLINE:
             flush()
             close(("p",), True)
             if tag in CLOSES:
                 close(CLOSES[tag], True)
-        stack.append((tag, f"{tag} {attribute_words(m[3] or '')}".rstrip()))
+        stack.push(tag, f"{tag} {attribute_words(m[3] or '')}".rstrip())
         links += tag == "a"
     say(html[at:])
     flush()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    out = {f"leaf={path[-1].split(' ', 1)[0]}" if path else "leaf="}
-    for depth, element in enumerate(reversed(path)):
-        tag, *said = element.split(" ")
-        if tag in STRUCTURE:
-            out.add(f"in={tag}")
-        for w in said:
-            out.add(f"word={w}")
-            if depth < 2:
-                out.add(f"near={w}")
-    tags = {e.split(" ", 1)[0] for e in path}
-    if "article" in tags or "main" in tags:
-        order = [e.split(" ", 1)[0] for e in path]
-        start = max(i for i, t in enumerate(order) if t in ("article", "main"))
-        out.update(f"under={t}" for t in order[start + 1 :] if t in ("header", "footer", "aside", "nav", "form", "section", "ul", "li"))
-    return sorted(out)
+@dataclass(slots=True)
+class Above:
+    """What features know of an element and those it stands in; sets are shared where an element adds nothing."""
+
+    entry: str = ""
+    before: str = ""
+    inside: frozenset[str] = frozenset()
+    in_article: bool = False
+    under: frozenset[str] = frozenset()
+
+    def then(self, entry: str, wanted: Callable[[str], bool] = lambda f: True) -> Above:
+        tag, *said = entry.split(" ")
+        new = {f for f in (f"in={tag}" if tag in STRUCTURE else "", *[f"word={w}" for w in said]) if f and wanted(f)}
+        inside = self.inside if new <= self.inside else self.inside | new
+        if tag in ("article", "main"):
+            return Above(entry, self.entry, inside, True)
+        below = self.in_article and tag in UNDER
+        return Above(entry, self.entry, inside, self.in_article, self.under | {f"under={tag}"} if below else self.under)
+
+    def features(self) -> list[str]:
+        near = {f"near={w}" for e in (self.entry, self.before) for w in e.split(" ")[1:]}
+        return sorted({f"leaf={self.entry.split(' ', 1)[0]}"} | self.inside | near | self.under)
+
+
+def chain(element: Element | None) -> list[Element]:
+    """The element and those above, outermost first."""
+    out = []
+    while element is not None:
+        out.append(element)
+        element = element.parent
+    return out[::-1]
+
+
+def path_features(element: Element | None) -> list[str]:
+    above = Above()
+    for e in chain(element):
+        above = above.then(e.entry)
+    return above.features()
 
 
 def text_features(b: Block) -> list[str]:
@@ -179,20 +256,38 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Paths that were met: the number of each by that of the path above and its last element."""
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.above, self.by_path = [Above()], [self.weights[self.known(Above().features())].sum(0)]
 
     def known(self, features: list[str]) -> list[int]:
         return [i for f in features if (i := self.index.get(f)) is not None]
 
+    def number(self, element: Element | None, met: dict[Element, int]) -> int:
+        """The number of an element's path; what is worked out once for a path serves all pages."""
+        todo = []
+        while element is not None and element not in met:
+            todo.append(element)
+            element = element.parent
+        at = met[element] if element is not None else 0
+        for e in reversed(todo):
+            key = (at, e.entry)
+            if key not in self.numbers:
+                self.numbers[key] = len(self.above)
+                self.above.append(self.above[at].then(e.entry, self.index.__contains__))
+                self.by_path.append(self.weights[self.known(self.above[-1].features())].sum(0))
+            at = met[e] = self.numbers[key]
+        return at
+
     def scores(self, blocks: list[Block]) -> np.ndarray:
-        rows = np.empty((len(blocks), 2))
+        if len(self.above) > 50_000:
+            self.forget()
+        rows, met = np.empty((len(blocks), 2)), {}
         for k, b in enumerate(blocks):
-            by_path = self.paths.get(b.path)
-            if by_path is None:
-                if len(self.paths) > 50_000:
-                    self.paths.clear()
-                by_path = self.paths[b.path] = self.weights[self.known(path_features(b.path))].sum(0)
-            rows[k] = by_path + self.weights[self.known(text_features(b))].sum(0)
+            rows[k] = self.by_path[self.number(b.element, met)] + self.weights[self.known(text_features(b))].sum(0)
         return rows
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -212,38 +307,45 @@ class Field:
         return labels[::-1]
 
 
+def gradient(e: np.ndarray, t: np.ndarray, labels: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of a page's labels with block scores e and moves t: minus the log of their probability, and what it gains with each
+    of e and of t, by forward-backward."""
+    n = len(e)
+    alpha, beta = np.empty((n, 2)), np.zeros((n, 2))
+    alpha[0] = t[2] + e[0]
+    for k in range(1, n):
+        alpha[k] = np.logaddexp(alpha[k - 1, 0] + t[0], alpha[k - 1, 1] + t[1]) + e[k]
+    for k in range(n - 2, -1, -1):
+        x = t[:2] + e[k + 1] + beta[k + 1]
+        beta[k] = np.logaddexp(x[:, 0], x[:, 1])
+    z = np.logaddexp(alpha[-1, 0], alpha[-1, 1])
+    p, dt = np.exp(alpha + beta - z), np.zeros_like(t)
+    dt[2] = p[0]
+    dt[2, labels[0]] -= 1
+    if n > 1:
+        both = np.exp(alpha[:-1, :, None] + t[None, :2] + (e[1:] + beta[1:])[:, None, :] - z)
+        dt[:2] = both.sum(0)
+        np.add.at(dt, (labels[:-1], labels[1:]), -1)
+    at = np.arange(n)
+    said = e[at, labels].sum() + t[2, labels[0]] + t[labels[:-1], labels[1:]].sum()
+    p[at, labels] -= 1
+    return float(z - said), p, dt
+
+
 def train(pages: list[tuple[list[Block], list[int]]], seed: int = 3) -> Field:
-    """Maximum likelihood by Adagrad, gradients from forward-backward."""
+    """Maximum likelihood by Adagrad."""
     rng = random.Random(seed)
     index: dict[str, int] = {}
     rows = []
     for blocks, labels in pages:
         if blocks:
-            rows.append(([[index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(b))] for b in blocks], labels))
+            rows.append(([[index.setdefault(f, len(index)) for f in (*path_features(b.element), *text_features(b))] for b in blocks], labels))
     w, t = np.zeros((len(index), 2)), np.zeros((3, 2))
     gw, gt = np.full_like(w, 1e-2), np.full_like(t, 1e-2)
     for _ in range(EPOCHS):
         rng.shuffle(rows)
         for features, labels in rows:
-            n = len(features)
-            e = np.array([w[f].sum(0) for f in features])
-            alpha, beta = np.empty((n, 2)), np.zeros((n, 2))
-            alpha[0] = t[2] + e[0]
-            for k in range(1, n):
-                alpha[k] = np.logaddexp(alpha[k - 1, 0] + t[0], alpha[k - 1, 1] + t[1]) + e[k]
-            for k in range(n - 2, -1, -1):
-                x = t[:2] + e[k + 1] + beta[k + 1]
-                beta[k] = np.logaddexp(x[:, 0], x[:, 1])
-            z = np.logaddexp(alpha[-1, 0], alpha[-1, 1])
-            p = np.exp(alpha + beta - z)
-            dt = np.zeros_like(t)
-            dt[2] = p[0]
-            dt[2, labels[0]] -= 1
-            if n > 1:
-                both = np.exp(alpha[:-1, :, None] + t[None, :2] + (e[1:] + beta[1:])[:, None, :] - z)
-                dt[:2] = both.sum(0)
-                np.add.at(dt, (labels[:-1], labels[1:]), -1)
-            p[np.arange(n), labels] -= 1
+            _, p, dt = gradient(np.array([w[f].sum(0) for f in features]), t, labels)
             flat = np.concatenate([np.array(f) for f in features])
             used, inv = np.unique(flat, return_inverse=True)
             dw = np.zeros((len(used), 2))
@@ -410,7 +512,9 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[list[Block], li
     return out
 
 
+@functools.cache
 def trained() -> Field:
+    """The field, trained once in a process."""
     return train(labelled_pages())
 
 

@@ -40,6 +40,81 @@ def test_broken_pages_do_not_crash(crf, html):
     assert isinstance(html_extract.main_text(crf, html), str)
 
 
+ARTICLE = "<article><header><h1>Head line</h1></header><p>The first paragraph of it, long enough to be read.</p><p>And a second one, with more to say.</p></article>"
+TEXT = "Head line The first paragraph of it, long enough to be read. And a second one, with more to say."
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><body>{ARTICLE}</body>", f"<html><head><title>T</title><meta charset=x>{ARTICLE}", f"<title>T</title>{ARTICLE}", f"<!doctype html><head><style>p{{}}</style></head>{ARTICLE}",
+    f"<head>{ARTICLE}<footer>&copy; Site</footer>", f"<body><noscript>{ARTICLE}", f"<body><svg><path>{ARTICLE}", f"<body><object><iframe>{ARTICLE}", f"<body><script>if (a </scripts>) '<p>no</p>'</script >{ARTICLE}",
+])
+def test_tags_may_be_left_out(crf, page):
+    assert html_extract.main_text(crf, page) == TEXT
+
+
+def test_deep_and_odd_pages_take_time_in_step_with_their_length(crf):
+    import time
+
+    def took(html):
+        began = time.perf_counter()
+        html_extract.main_text(crf, html)
+        return time.perf_counter() - began
+
+    took(ARTICLE)
+    for unit in ("<div>x", "<div class='c'>x", "<b>x", "<p><b>", "<svg>x", "<ul><li>x", "<h2>x</h3>", "</p>x"):
+        small, large = took(unit * 3000), took(unit * 24000)
+        assert large < 24 * small + 0.5, unit  # 8 would be even, 64 quadratic
+
+
+def test_paths_share_what_they_know():
+    blocks = html_extract.leaf_blocks('<main class="story"><section id="a-b"><p>x<b>y</b></p></section></main><p>z')
+    assert [(b.text, [e.entry for e in html_extract.chain(b.element)]) for b in blocks] == [("xy", ["main story", "section a b", "p"]), ("z", ["p"])]
+    assert html_extract.path_features(blocks[0].element) == sorted(["leaf=p", "in=main", "in=section", "in=p", "word=story", "word=a", "word=b", "near=a", "near=b", "under=section"])
+    assert html_extract.path_features(None) == ["leaf="]
+
+
+def test_viterbi_finds_the_best_of_all_sequences(crf):
+    from itertools import product
+
+    np, r = toxicity.np, random.Random(2)
+    for _ in range(60):
+        field = html_extract.Field({}, np.zeros((0, 2)), np.array([[r.gauss(0, 2) for _ in range(2)] for _ in range(3)]))
+        n = r.randint(1, 7)
+        scores = np.array([[r.gauss(0, 2) for _ in range(2)] for _ in range(n)])
+        field.scores = lambda blocks, scores=scores: scores
+        m = field.moves
+        best = max(product((0, 1), repeat=n), key=lambda y: m[2, y[0]] + sum(m[a, b] for a, b in zip(y, y[1:], strict=False)) + sum(scores[k, v] for k, v in enumerate(y)))
+        assert field.decode([None] * n) == list(best)
+
+
+def test_gradient_equals_differences_and_sums_over_all_sequences():
+    from itertools import product
+
+    np, r = toxicity.np, np_random(5)
+    for n in (1, 2, 5):
+        e, t = r.normal(size=(n, 2)), r.normal(size=(3, 2))
+        labels = r.integers(0, 2, n).tolist()
+
+        def loss(e, t):
+            def total(y):
+                return t[2, y[0]] + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)) + sum(e[k, v] for k, v in enumerate(y))
+
+            return np.log(sum(np.exp(total(y)) for y in product((0, 1), repeat=len(e)))) - total(labels)
+
+        got, de, dt = html_extract.gradient(e, t, labels)
+        assert abs(got - loss(e, t)) < 1e-9
+        for x, d in ((e, de), (t, dt)):
+            for at in np.ndindex(x.shape):
+                step = np.zeros_like(x)
+                step[at] = 1e-5
+                high, low = (loss(e + s, t) if x is e else loss(e, t + s) for s in (step, -step))
+                assert abs((high - low) / 2e-5 - d[at]) < 1e-6
+
+
+def np_random(seed):
+    return toxicity.np.random.default_rng(seed)
+
+
 def test_articles_of_the_table(spark, crf):
     import re
     from html import unescape
@@ -164,6 +239,27 @@ def test_toxicity_without_both_labels(spark):
         assert {r.score for r in toxicity.score(docs, model).collect()} == {want}
 
 
+def test_scores_equal_the_convolution_written_out():
+    np, r = toxicity.np, np_random(3)
+    m = toxicity.Model(
+        r.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), r.normal(size=(toxicity.DIM, toxicity.OFFSETS * toxicity.FILTERS)).astype(np.float32),
+        r.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), r.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), 0.3,
+    )
+    texts = ["", None, "one", "two words", "a few more words, and a tail!", "again and again " * 30, "x" * 200 + " y"]
+    for text, z in zip(texts, toxicity.Scorer(m).logits(texts), strict=True):
+        vecs = []
+        for w in toxicity.words(text):
+            flat, _ = toxicity.bucket_lists([w.strip(toxicity.STRIP)])
+            vecs.append(m.emb[flat].mean(0))
+        want, col, f = m.base, 0, toxicity.FILTERS
+        for k, width in enumerate(toxicity.WIDTHS):
+            for j in range(f):
+                sums = [sum(float(vecs[i + o] @ m.conv[:, (col + o) * f + j]) for o in range(width)) for i in range(len(vecs) - width + 1)]
+                want += float(m.out[k * f + j]) * max([0.0, *[s + float(m.bias[k * f + j]) for s in sums]])
+            col += width
+        assert abs(z - want) < 1e-3, text
+
+
 def test_words_share_buckets_with_their_stems():
     flat, starts = toxicity.bucket_lists(["zukwab", "zukwabish", "", "a"])
     lists = [set(flat[a:b].tolist()) for a, b in zip(starts, [*starts[1:], len(flat)], strict=True)]
