@@ -53,6 +53,29 @@ def test_neighbours(spark, shard_rows):
     assert hits / total >= 0.97
 
 
+@pytest.mark.parametrize("mean", [0, 10_000])
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_recall_of_a_graph(n, mean):
+    x = (cloud(11, n, groups=7, d=16) + mean).astype(np.float32)
+    g = ann.Graph.build(x, np.arange(n), seed=2)
+    assert all(links.dtype == np.int32 and links.shape == (len(g.x), ann.MOST_LINKS) for links in g.levels) and len(g.levels) >= 3
+    asked = np.arange(0, n, 30)
+    q, v, d = g.search(asked, x[asked].astype(np.float64), 10)
+    hits = 0
+    for k, i in enumerate(asked.tolist()):
+        hits += len(set(v[q == k].tolist()) & set(exact(x, i, 10)[0]))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
+def test_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0]), (0, [0, 1.0]), (0, [1.0, 0]), (1, [1.0, 0.5]), (2, [0, 2.0]), (3, [1.0, 0, 0]), (100, [1.0, 0, 1]), (4, [5.0]), (200, [7.0]), (None, [1.0, 0]), (300, [1.0] * 5)]
+    df = spark.createDataFrame([(i, [float(y) for y in v], 1, "x", "y") for i, v in rows], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, k=2).collect())
+    r2, r125 = round(2**0.5, 9), round(1.25**0.5, 9)
+    want = [(0, 1, 1, 0.5), (0, 2, 0, r2), (0, 1, 2, 1.0), (0, 2, 1, r125), (100, 1, 3, 1.0), (200, 1, 4, 2.0)]
+    assert got == sorted(want)
+
+
 def test_few_rows_and_none(spark):
     x = cloud(2, 5, groups=0)
     got = ann.neighbours(frame(spark, x), F.lit(True)).collect()
