@@ -47,16 +47,17 @@ def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`, so that what Python makes of a batch stays small."""
+    """The same rows in batches of at most `rows`, so that what Python makes of a batch stays small; what is freed goes
+    back to the system after every batch that came."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-    give_back()
+        give_back()
 
 
 def give_back() -> None:
-    """At a task's end returns freed memory to the system: a worker waits for its next task beside others."""
+    """Returns freed memory to the system: workers share an executor's memory, also while they wait for tasks."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)

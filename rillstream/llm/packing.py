@@ -53,7 +53,7 @@ class WordIds(RunMemory):
     its runs between ASCII white space, in order. The library works out each distinct run once.
     """
 
-    most_ids = 16_000_000
+    most_ids = 4_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Longer runs are not kept: they are worked out wherever they stand.
 LONG = 2048
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -62,8 +62,8 @@ class RunMemory:
     """Two numbers for each run of up to LONG bytes, found by a 64-bit hash and held against its bytes; up to `room` runs
     and `most_bytes` of them. A tag tells runs apart that have the same bytes and another meaning."""
 
-    room = 2_000_000
-    most_bytes = 1 << 25
+    room = 700_000
+    most_bytes = 1 << 24
 
     def __init__(self):
         self.values = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
