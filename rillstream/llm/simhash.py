@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from rillstream.llm.common import free_name, sliced, staged, unstage
-from rillstream.llm.components import components
+from rillstream.llm.components import components, stars
 
 SEED = 42
 SHINGLE = 3
@@ -38,8 +38,10 @@ COPY_SHINGLE = 5
 BANDS = 20
 ROWS = 4
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-#: Candidate texts (16 bytes each) up to which their digests are broadcast.
+#: Texts or band keys (8 to 24 bytes each) up to which they are broadcast.
 BROADCAST_TEXTS = 200_000
+#: Texts of a bucket that are compared with as many others at once.
+PART = 256
 
 
 def signed(x: int) -> int:
@@ -122,16 +124,17 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def unit(text: Column) -> Column:
-    """Stands for a text: 16 bytes, none for null."""
-    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("")))
+    """Stands for a text beside its fingerprint or its id: 64 bits."""
+    return F.xxhash64(text)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, copies: bool = False) -> DataFrame:
-    """doc_id, unit and fp (the fingerprint's 64 bits as a long), one narrow pass; copies adds the MinHash `keys`."""
+    """doc_id, unit and fp (the fingerprint's 64 bits as a long), one narrow pass; copies adds the MinHash `keys`
+    and the number of shingles, `n`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps, keys = [], []
+            fps, keys, sizes = [], [], []
             for t in batch[2]:
                 ws = words_of(t.as_py())
                 h = word_hashes(ws, shingle)
@@ -139,12 +142,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if copies:
                     own = copy_set(ws, h) if shingle == SHINGLE else shingle_set(ws)
                     keys.append(band_keys(own) if len(own) else None)
-            more = [pa.array(keys, pa.list_(pa.int64()))] if copies else []
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(fps, pa.int64()), *more], names=["doc_id", "unit", "fp", "keys"][: 3 + copies])
+                    sizes.append(len(own))
+            more = [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())] if copies else []
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(fps, pa.int64()), *more], names=["doc_id", "unit", "fp", "keys", "n"][: 3 + 2 * copies])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), unit(text).alias("unit"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, unit binary, fp long" + (", keys array<long>" if copies else ""))
+    return rows.mapInArrow(run, "doc_id long, unit long, fp long" + (", keys array<long>, n int" if copies else ""))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -176,11 +180,11 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     With a similarity, texts that share at least that part of their word shingles (near_copies) are linked too.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, shingle, similarity is not None), "fingerprints", gather=True)
+    rows = staged(fingerprints(docs, id_col, text_col, shingle, similarity is not None), "fingerprints", gather=similarity is None)
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), radius), "simhash")
     if similarity is not None:
-        roots = near_copies(docs, rows, roots, text_col, similarity)
+        roots = near_copies(docs, rows, roots, id_col, text_col, similarity)
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
     named = staged(named, "named")
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -193,56 +197,112 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, rows: DataFrame, roots: DataFrame, text_col: str, similarity: float) -> DataFrame:
+def alike_rows(sets: pa.ListArray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j whose sets have at least that Jaccard similarity."""
+    sizes = np.diff(sets.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, col, n = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    shared = n[col] > 1
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    order = col.argsort(kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    bounds = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + 4096, 4096))
+    for k, (a, b) in enumerate(pairwise(bounds.tolist())):
+        has = np.zeros((len(sizes), 4096), np.float32)
+        has[row[a:b], col[a:b] - 4096 * k] = 1
+        both += has @ has.T
+    both = both.astype(np.float64)
+    i, j = np.nonzero(np.triu(both >= (sizes[:, None] + sizes[None] - both) * similarity, 1))
+    return i, j
+
+
+def near_copies(docs: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(node, root) of fingerprints as in roots, joined further where texts have a Jaccard similarity of at least that
     over their sets of five-word shingles.
 
-    Distinct texts that share a MinHash band are compared exactly. First all with the first one of each bucket; what is
-    then in one component needs no more comparisons, so only pairs of different components follow: in each bucket those
-    outside its largest component with everyone. A dense cluster of any size costs about its own length.
+    Distinct texts that share a MinHash band are compared exactly. First each with the one among those in its buckets
+    that shares the most with others; what is then in one component needs no more comparisons, so only buckets of several
+    components follow, in blocks. Pairs are never written out. A cluster around a common original costs about its own
+    length; texts that share buckets without being alike cost the square of their bucket in comparisons, not in rows.
     """
-    once = rows.where("keys is not null").groupBy("unit", "fp").agg(F.first("keys").alias("keys"))
-    keyed = staged(once.select(F.struct("unit", "fp").alias("u"), F.explode("keys").alias("key")), "bands")
-    shared = keyed.groupBy("key").agg(F.min("u").alias("first"), F.max("u").alias("last")).where("first < last").select("key", "first")
-    members = staged(keyed.join(shared, "key").distinct(), "buckets")
-    unstage(keyed)
+    once = rows.where("keys is not null").groupBy("unit", "fp").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    once = staged(once, "distinct-texts")
+    keyed = once.select("unit", "fp", "n", F.explode("keys").alias("key"))
+    shared = staged(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
+    few = shared.count() <= BROADCAST_TEXTS
+    members = staged(keyed.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "buckets")
+    unstage(shared)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
-            sets = [shingle_set(words_of(t.as_py())).view(np.int64) for t in batch[1]]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(sets, pa.list_(pa.int64()))], names=["unit", "shingles"])
+            sets = [shingle_set(words_of(t.as_py())).view(np.int64) for t in batch[2]]
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(sets, pa.list_(pa.int64()))], names=["unit", "fp", "shingles"])
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """unit, fp, shingles of the texts named, which are taken up once more, one row of each."""
+        wanted = staged(once.join(ends.distinct(), ["unit", "fp"]).select(F.col("unit").alias("wu"), "fp", "doc"), "wanted", gather=True)
+        few = wanted.count() <= BROADCAST_TEXTS
+        texts = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).cast("string").alias("text")).withColumn("unit", unit(F.col("text")))
+        texts = texts.join(F.broadcast(wanted) if few else wanted, (F.col("unit") == F.col("wu")) & F.col("of").eqNullSafe(F.col("doc")))
+        return staged(texts.select("unit", "fp", "text").mapInArrow(shingles, "unit long, fp long, shingles array<long>"), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Edges between fingerprints of (a, b) that are alike. Only the texts of candidate pairs are taken up once
-        more, each once, and only their sets are moved."""
+        """Edges between fingerprints of the pairs (ua, a, ub, b) that are alike."""
         pairs = staged(pairs, "pairs")
-        wanted = staged(pairs.select("a.unit").union(pairs.select("b.unit")).distinct(), "wanted", gather=True)
-        few = wanted.count() <= BROADCAST_TEXTS
-        texts = docs.select(unit(F.col(text_col).cast("string")).alias("unit"), F.col(text_col).cast("string").alias("text"))
-        texts = texts.join(F.broadcast(wanted) if few else wanted, "unit", "left_semi")
-        sets = staged(texts.mapInArrow(shingles, "unit binary, shingles array<long>").groupBy("unit").agg(F.first("shingles").alias("shingles")), "shingles")
-        one, two = (sets.select(F.col("unit").alias(f"u{n}"), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
+        sets = sets_of(pairs.select(F.col("ua").alias("unit"), F.col("a").alias("fp")).union(pairs.select("ub", "b")))
+        one, two = (sets.select(F.col("unit").alias(f"u{n}"), F.col("fp").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
         both = F.size(F.array_intersect("sa", "sb"))
-        alike = pairs.join(one, F.col("a.unit") == F.col("ua")).join(two, F.col("b.unit") == F.col("ub"))
-        alike = alike.where(F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * similarity)
-        found = staged(alike.where(both >= (F.size("sa") + F.size("sb") - both) * similarity).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "alike")
-        for done in (sets, wanted, pairs):
+        alike = pairs.join(one, ["ua", "a"]).join(two, ["ub", "b"]).where(both >= (F.size("sa") + F.size("sb") - both) * similarity)
+        found = staged(alike.select("a", "b").distinct(), "alike")
+        unstage(sets)
+        return found
+
+    def connected(mixed: DataFrame) -> DataFrame:
+        """Edges that connect the texts of each bucket (key, unit, fp, root) that are alike and of different components.
+
+        Buckets of the same texts are looked at once. A bucket is dealt to parts of PART texts, and every two parts meet;
+        what comes out is a forest, never the pairs.
+        """
+        same = mixed.groupBy("key").agg(F.sum(F.xxhash64("unit", "fp").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size"))
+        chosen = same.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+        dealt = staged(mixed.join(chosen, "key").withColumn("part", F.pmod(F.xxhash64("unit", "fp", F.lit("part")), F.col("parts")).cast("int")), "dealt")
+        sets = sets_of(dealt.select("unit", "fp"))
+        with_sets = dealt.join(sets, ["unit", "fp"]).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = with_sets.withColumns({"p": F.least("part", "with"), "q": F.greatest("part", "with")}).select("key", "p", "q", "part", "fp", "root", "shingles")
+
+        def compare(key: tuple, t: pa.Table) -> pa.Table:
+            part, fp, root = (t[c].to_numpy() for c in ("part", "fp", "root"))
+            i, j = alike_rows(t["shingles"].combine_chunks(), similarity)
+            ok = root[i] != root[j]
+            if key[1] != key[2]:
+                ok &= part[i] != part[j]
+            a, b = stars(fp[i[ok]], fp[j[ok]])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        found = staged(met.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "alike")
+        for done in (sets, dealt):
             unstage(done)
         return found
 
-    near = verified(members.where("u <> first and u.fp <> first.fp").select(F.col("u").alias("a"), F.col("first").alias("b")).distinct())
+    # The text that shares the most buckets with others is most like all of them: a cluster's copies meet there.
+    fits = F.least("n", "m") >= F.greatest("n", "m") * similarity  # no pair whose sizes differ more can be alike
+    shares = members.join(members.groupBy("key").count(), "key").groupBy("unit", "fp").agg(F.sum("count").alias("shares"))
+    scored = staged(members.join(shares, ["unit", "fp"]), "scored")
+    centres = scored.groupBy("key").agg(F.max(F.struct("shares", "unit", "fp", "n")).alias("centre"))
+    low = scored.join(centres, "key").withColumn("m", F.col("centre.n")).where(fits).groupBy("unit", "fp").agg(F.max("centre").alias("centre")).where("fp <> centre.fp")
+    near = verified(low.select(F.col("unit").alias("ua"), F.col("fp").alias("a"), F.col("centre.unit").alias("ub"), F.col("centre.fp").alias("b")))
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known.union(near), "near")
-    rooted = staged(members.join(roots, F.col("u.fp") == F.col("node"), "left").select("key", "u", F.coalesce("root", F.col("u.fp")).alias("root")), "rooted")
+    unstage(scored)
+    rooted = staged(members.join(roots, F.col("fp") == F.col("node"), "left").select("key", "unit", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
     unstage(members)
-    most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1")
-    mixed = staged(rooted.join(most.select("key", "main"), "key"), "mixed")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    mixed = staged(rooted.join(several, "key").select("key", "unit", "fp", "root"), "mixed")
     unstage(rooted)
-    outside = mixed.where("root <> main").select("key", F.col("u").alias("a"), F.col("root").alias("ra"))
-    every = mixed.select("key", F.col("u").alias("b"), F.col("root").alias("rb"), "main")
-    rest = outside.join(every, "key").where("ra <> rb and (rb = main or a < b)").select("a", "b").distinct()
-    more = verified(rest)
-    unstage(mixed)
+    more = connected(mixed)
+    for done in (mixed, once):
+        unstage(done)
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "nearer")

@@ -131,7 +131,19 @@ def test_shingle_sets_tell_texts_apart_as_words_do():
     assert len(set(simhash.shingle_set(a).tolist()) & set(simhash.shingle_set(b).tolist())) == 34
 
 
-def test_edited_copies_fall_together(spark):
+def test_sets_in_blocks_equal_sets_of_python():
+    import pyarrow as pa
+
+    r = random.Random(14)
+    for size in (0, 1, 40):
+        sets = [sorted(r.sample(range(60), r.randint(1, 12))) for _ in range(size)]
+        i, j = simhash.alike_rows(pa.array(sets, pa.list_(pa.int64())), 0.5)
+        want = [(a, b) for a, b in combinations(range(size), 2) if len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b]))]
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_edited_copies_fall_together(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 3)  # buckets in several blocks
     r = random.Random(12)
     vocabulary = [f"w{k}" for k in range(400)]
 
