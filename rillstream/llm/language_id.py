@@ -160,8 +160,8 @@ def unit_hash(col: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), col), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, grams_kept: int = GRAMS) -> Filters:
-    """Filters from rows whose text and language are not null."""
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: float = SAMPLE, grams_kept: int = GRAMS) -> Filters:
+    """Filters from rows whose text and language are not null; all of them, if sample is infinite."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     by_lang = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang")
     sizes = {r[0]: r[1] for r in by_lang.collect()}  # a row for each language
@@ -172,7 +172,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rate = F.element_at(rates, F.col(lang_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs = np.array(batch[0].to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
                 texts = [batch[1][int(i)].as_py() for i in np.flatnonzero(langs == lang)]

@@ -63,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc("doc_id", 4) == 2, F.lit(False))
     learned = docs.select("doc_id", "text", "lang").where(~held_out)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = toxicity.fit(learned, labels, language_id.fit(learned))
+    model = toxicity.fit(learned, labels, language_id.fit(learned, sample=float("inf")))
     found = toxicity.score(docs, model)
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int")
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

@@ -239,6 +239,63 @@ def test_toxicity_without_both_labels(spark):
         assert {r.score for r in toxicity.score(docs, model).collect()} == {want}
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    rows = made(120)
+    tail = " ".join(t for _, t, y in made(400, 2) if not y)[:21_000]
+    docs = spark.createDataFrame([(i, f"{t} {tail}") for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    scores = toxicity.Scorer(model).scores([f"{t} {tail}" for _, t, _ in made(60, 3)])
+    right = [(s >= toxicity.THRESHOLD) == bool(y) for s, (_, _, y) in zip(scores, made(60, 3), strict=True)]
+    assert sum(right) / len(right) > 0.9
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More labels of either kind than were once drawn: all are counted, in each model but its fold's, and held against."""
+    np = toxicity.np
+    rows = [(i, f"{'zukwab ' * (i % 3 == 0)}a{i}", int(i % 3 == 0)) for i in range(9000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for name, value in (("SHARD_ROWS", 1000), ("EPOCHS", 1), ("STEPS", 0)):
+        monkeypatch.setattr(toxicity, name, value)
+    kept, best = [], []
+    own_train, own_shifts = toxicity.Folds.train, toxicity.Folds.shifts
+    monkeypatch.setattr(toxicity.Folds, "train", lambda f: kept.append(f) or own_train(f))
+    monkeypatch.setattr(toxicity.Folds, "shifts", lambda f, models: best.append((f.logits(models).collect(), own_shifts(f, models))) or best[0][1])
+    model = toxicity.fit(docs, labels)
+    folds, (told, shifts) = kept[0], best[0]
+    assert folds.folds == 2 and folds.shards == 5
+    assert sum(sum(folds.seen(k).values()) for k in range(2)) == 9000
+    assert len(told) == 9000 and sum(r.y for r in told) == 3000
+    z, y = np.array([r.z for r in told]), np.array([r.y for r in told])
+    cut = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)) - shifts[""]
+    f1 = [2 * y[z >= c].sum() / ((z >= c).sum() + y.sum()) for c in (cut, *np.quantile(z, np.linspace(0, 1, 400)))]
+    assert max(f1) == f1[0] and model.shifts == shifts
+    scores = toxicity.Scorer(model).scores(["zukwab b", "b c"])
+    assert scores[1] < toxicity.THRESHOLD <= scores[0]
+
+
+def test_joined_models_and_averages():
+    np = toxicity.np
+    rows = made(300)
+    y, group = np.array([y for _, _, y in rows]), np.array([""] * 300)
+    texts = [t for _, t, _ in rows]
+    models = [toxicity.train(texts[a::2], y[a::2], group[a::2], seed=a) for a in (0, 1)]
+    one, two = (toxicity.Scorer(m).logits(texts) for m in models)
+    assert np.abs(toxicity.Scorer(toxicity.joined(models)).logits(texts) - (one + two) / 2).max() < 1e-3
+    own = toxicity.Texts(*toxicity.Texts.numbered(texts))
+    assert np.abs(own.logits(models[0], np.arange(300)) - one).max() < 1e-3
+
+
+def test_best_shift_equals_all_thresholds_tried():
+    np, r = toxicity.np, np_random(6)
+    for n in (1, 2, 9, 60):
+        z, y = np.round(r.normal(size=n), 1), r.integers(0, 2, n)
+        y[0] = 1
+        cut = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)) - toxicity.best_shift(z, y)
+        f1 = [2 * y[z >= c].sum() / ((z >= c).sum() + y.sum()) for c in (cut, *z)]
+        assert f1[0] == max(f1)
+
+
 def test_scores_equal_the_convolution_written_out():
     np, r = toxicity.np, np_random(3)
     m = toxicity.Model(
