@@ -19,6 +19,8 @@ from rillstream.functions.partition import pairs, parse_path, partition_path
 from rillstream.operators.rolling import roll_by_size
 from rillstream.sources.writers import MANIFEST, WriterCache, publish, qualified
 
+HELD = 32 << 20  # bytes of rows that a task of write_cached brings together
+
 
 @dataclass(frozen=True)
 class Target:
@@ -113,17 +115,37 @@ def memory_view(df: DataFrame, name: str) -> DataFrame:
     return lines
 
 
-def write_cached(df: DataFrame, target: Target, path: Column, max_open: int = 0, ttl_s: float = 0) -> DataFrame:
+def by_path(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[dict[str, list[bytes]]]:
+    """The lines of each path in the order they come, of one stretch after the other: batches (file, line) of `held` bytes
+    in all, one batch at least."""
+    lines, size = {}, 0
+    for batch in batches:
+        if lines and size + batch.nbytes > held:
+            yield lines
+            lines, size = {}, 0
+        for name, line in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            lines.setdefault(name, []).append(line.encode() + b"\n")
+        size += batch.nbytes
+    if lines:
+        yield lines
+
+
+def write_cached(df: DataFrame, target: Target, path: Column, max_open: int = 0, ttl_s: float = 0, held: int = HELD) -> DataFrame:
     """Each row's line to the file its path names, in the order the task has the rows, without a shuffle: a task keeps up
     to max_open files open and closes the least recently used, or those idle for ttl_s. Paths hold {suffix}, as a file
-    may be closed and the path come again. Returns file and rows."""
+    may be closed and the path come again. Returns file and rows.
+
+    A task holds `held` bytes of rows and writes them path by path, those of open files first, so that a path is opened
+    once for them at most, however its rows alternate with others. Else nearly every row would be a file of its own where
+    there are more paths than open files, and the driver, which lists them to read them, would hold them all."""
     base = qualified(df.sparkSession, target.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WriterCache(base, target.gzip, max_open, ttl_s)
-        for batch in batches:
-            for name, line in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                cache.write(name, line.encode() + b"\n")
+        for lines in by_path(batches, held):
+            for name in sorted(lines, key=cache.requires_new):
+                for line in lines[name]:
+                    cache.write(name, line)
             yield cache.finished()
         cache.close()
         yield cache.finished()

@@ -184,3 +184,21 @@ def test_clustered_files_hold_every_user(spark, tmp_path):
         tails[k:k + 1] = [(value, (tails[k][1] if k < len(tails) else 0) + 1)]
     assert sorted(map(tuple, got)) == sorted((f"user_id={u}/sorted_records_p{k:04d}_s.json", n) for u, tails in want.items() for k, (_, n) in enumerate(tails))
     assert max(want) > 40 and sum(r.rows for r in got) == len(events)
+
+
+def test_cached_files_are_few_where_paths_alternate(spark, tmp_path):
+    kinds = random.Random(8).choices("abcde", k=3000)
+    df = spark.createDataFrame(list(enumerate(kinds)), "i long, k string").coalesce(1)
+    path = F.concat(F.lit("k="), F.col("k"), F.lit("/f_{suffix}.json"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        for most, held in ((5, {}), (5 + 5 * 3, {"held": 1})):  # all rows at once; 6 batches, of which 5 open the 3 closed files
+            target = sinks.Target(str(tmp_path / str(most)), gzip=True)
+            done = sinks.write_cached(df, target, path, max_open=2, **held).collect()
+            found = sorted(glob.glob(f"{target.base}/**/*.gz", recursive=True))
+            assert len(found) == len(done) == most and sum(r["rows"] for r in done) == 3000
+            got = [(p.split("/k=")[1][0], [(r["i"], r["k"]) for r in rows_of(p)]) for p in found]
+            assert all(rows == sorted(rows) and {k for _, k in rows} == {kind} for kind, rows in got)
+            assert sorted(x for _, rows in got for x in rows) == list(enumerate(kinds))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
